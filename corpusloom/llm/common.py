@@ -20,6 +20,7 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _BASE = 0x5851F42D4C957F2D
+_MULT = 0xD6E8FEB86659FD93
 
 
 def words_of(text: str | None) -> list[str]:
@@ -124,6 +125,38 @@ def groups(texts: list[str | None], most: int = GROUP_BYTES):
         yield slice(at, len(texts))
 
 
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each run of k word hashes (of the first word of the run on)."""
+    n = max(len(h) - k + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(_MULT) + h[j : j + n]
+    return mix(out)
+
+
+def smallest(g: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` neighbours."""
+    n = max(len(g) - width + 1, 0)
+    out, done = g, 1
+    while done < width:  # minima of 2, 4, 8, ... neighbours, then one overlap
+        step = min(done, width - done)
+        out = np.minimum(out[: len(out) - step], out[step:])
+        done += step
+    return out[:n]
+
+
+def within(starts: np.ndarray, length: int) -> np.ndarray:
+    """Start positions of the runs of ``length`` words that lie in one text."""
+    n = int(starts[-1])
+    ok = np.ones(max(n - length + 1, 0), bool)
+    for back in range(1, length):  # a run that begins 1 .. length-1 words before a text's end leaves it
+        at = starts[1:] - back
+        at = at[(at >= 0) & (at < len(ok))]
+        ok[at] = False
+    # a text of fewer than length words: positions before its start were cleared above as well, which is right
+    return np.flatnonzero(ok)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only for local masters."""
     d = spark.conf.get("spark.checkpoint.dir", None)

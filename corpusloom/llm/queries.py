@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, topk, urls
+from . import bagminhash, decontaminate, langid, topk, urls
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -83,8 +83,12 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, co
 """
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op2_language_id": op2_language_id, "op3_top_k": op3_top_k, "op5_decontaminate": op5_decontaminate, "op8_url_filter": op8_url_filter}
+    return {"op2_language_id": op2_language_id, "op3_top_k": op3_top_k, "op5_decontaminate": op5_decontaminate, "op8_url_filter": op8_url_filter, "op9_near_duplicates": op9_near_duplicates}
 
 
 def oracle_sql() -> dict[str, str]:
