@@ -179,3 +179,23 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM) -> DataF
     """Learns from the rows that are not held out and predicts all: doc_id, held_out, lang_pred, score."""
     langs, prototypes = train(docs.where(~held_out(F.col("doc_id"))), per_lang, dim)
     return predict(docs, langs, prototypes).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def accept(docs: DataFrame, langs: list[str], prototypes: np.ndarray, allowed: list[str] | None = None) -> DataFrame:
+    """The rows of docs, all columns, that have a letter and whose language is one of ``allowed`` (default: any)."""
+    shared = docs.sparkSession.sparkContext.broadcast((langs, prototypes))
+
+    def each(batches):
+        langs, prototypes = shared.value
+        encoder = Encoder(prototypes.shape[1])
+        for batch in batches:
+            texts, keep = batch.column("text").to_pylist(), []
+            for a in range(0, len(texts), 2000):
+                v = encoder.encode(texts[a : a + 2000])
+                ok = np.abs(v).sum(1) > 0
+                if allowed is not None and langs:
+                    ok &= np.isin(np.array(langs, object)[(v @ prototypes.T).argmax(1)], allowed)
+                keep += ok.tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)

@@ -1,9 +1,12 @@
 """The opN_ queries of this subpackage and the SQL that gives the same rows."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontaminate, langid, topk, urls
+from . import bagminhash, decontaminate, langid, pfair, shards, topk, urls
+from .common import shared_dir
 
 #: (host, path, verdict)
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -36,6 +39,10 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.materialise(_read(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -87,8 +94,12 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair.mix(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op2_language_id": op2_language_id, "op3_top_k": op3_top_k, "op5_decontaminate": op5_decontaminate, "op8_url_filter": op8_url_filter, "op9_near_duplicates": op9_near_duplicates}
+    return {"op2_language_id": op2_language_id, "op3_top_k": op3_top_k, "op4_token_shards": op4_token_shards, "op5_decontaminate": op5_decontaminate, "op8_url_filter": op8_url_filter, "op9_near_duplicates": op9_near_duplicates, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
