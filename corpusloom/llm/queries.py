@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bagminhash, decontaminate, langid, pfair, shards, topk, urls
+from . import bagminhash, chat, decontaminate, langid, licences, pfair, shards, spans, topk, urls
 from .common import shared_dir
 
 #: (host, path, verdict)
@@ -18,6 +18,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(_read(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
@@ -71,6 +75,15 @@ FROM doc LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_read(spark, sf_dir, "conversations"))
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.deduplicate(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), "firsts", F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in URL_RULES))).alias("r")).select("r.*")
     return urls.judge(_read(spark, sf_dir, "pages"), rules).drop("url")
@@ -99,7 +112,7 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_language_id": op2_language_id, "op3_top_k": op3_top_k, "op4_token_shards": op4_token_shards, "op5_decontaminate": op5_decontaminate, "op8_url_filter": op8_url_filter, "op9_near_duplicates": op9_near_duplicates, "op10_mix": op10_mix}
+    return {"op1_license_scan": op1_license_scan, "op2_language_id": op2_language_id, "op3_top_k": op3_top_k, "op4_token_shards": op4_token_shards, "op5_decontaminate": op5_decontaminate, "op6_chat_format": op6_chat_format, "op7_sentence_spans": op7_sentence_spans, "op8_url_filter": op8_url_filter, "op9_near_duplicates": op9_near_duplicates, "op10_mix": op10_mix}
 
 
 def oracle_sql() -> dict[str, str]:
