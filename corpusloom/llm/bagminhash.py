@@ -10,11 +10,14 @@ Points later than a limit that leaves no component empty are never drawn (a docu
 with twice the limit), so the work per document is its number of shingles plus about M log M points.
 
 Grouping.  Documents with equal multisets are one node (combined before any shuffle).  BANDS bands of ROWS components
-give bucket keys.  In each bucket every node is compared with one centre, the node of least random priority, not with
-all others; a pair is linked if the exact multiset overlap gives a similarity of THRESHOLD or more.  Where a bucket still
-holds nodes of different components, more centres follow, and last every pair of nodes of different components that share
-a bucket and have not been compared (and whose sizes allow the threshold).  So no pair that shares a bucket is lost, and
-no bucket is expanded into all its pairs.  P(no shared bucket) is below 1e-4 at similarity 0.8.
+give bucket keys; P(no shared bucket) is below 1e-4 at similarity 0.8.  In each bucket every node is compared with one
+centre, not with all others: the node that shares most bucket places with others.  A pair is linked if the exact multiset
+overlap gives a similarity of THRESHOLD or more.  What a bucket then holds besides its centre's component gets a centre of
+its own.  Where a bucket still holds several components, an exact prefix filter gives the pairs that are left: to be
+similar enough, two multisets must share one of their rarest items, n - o + 1 of them if o is the least overlap that the
+sizes in their buckets allow.  Nodes outside the largest component of such a bucket are joined on these items with all
+others, and the pairs not compared so far are verified.  So no link between nodes that share a bucket is lost, and no
+bucket is expanded into all its pairs.
 
 Scale: each task keeps a group of texts; sketches are 220 bytes a document; shingle sets are only made for documents in
 buckets of two nodes or more.  Components are found with joins over tables written to the shared folder.
@@ -34,7 +37,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 M, BANDS, ROWS = 128, 25, 5
 #: Ids up to this number (8 bytes each) are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-STAR_ROUNDS = 3
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
 
@@ -203,19 +205,26 @@ class Grouping:
             "bagminhash-nodes",
         )
         keys = self.nodes.select("node", "n", F.explode("bands").alias("key"))
-        centres = self.centres(keys, 0).where("members > 1")
-        self.buckets = table(keys.join(centres, "key").select("key", "node", "n", "centre"), "bagminhash-buckets")
+        shared = table(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "key"), "bagminhash-shared")
+        company = shared.groupBy("node").agg(F.sum("members").alias("company"))
+        self.buckets = table(shared.join(company, "node").select("key", "node", "n", "company"), "bagminhash-buckets")
+        drop_table(shared)
 
     @staticmethod
-    def centres(keys: DataFrame, turn: int) -> DataFrame:
-        rank = F.struct(F.xxhash64("node.a", "node.b", F.lit(turn)).alias("p"), "node", "n")
-        return keys.groupBy("key").agg(F.min(rank).alias("centre"), F.count(F.lit(1)).alias("members"))
+    def around(rows: DataFrame, centres: DataFrame) -> DataFrame:
+        """Pairs of each node with the centre of each of its buckets."""
+        rank = F.struct("company", "node", "n")
+        centres = centres.groupBy("key").agg(F.max(rank).alias("c"))
+        return rows.join(centres, "key").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c.node").alias("y"), F.col("c.n").alias("ny"))
+
+    def sets(self, nodes: DataFrame) -> DataFrame:
+        """node, items of the nodes given: from one document of each."""
+        ids = self.nodes.select("node", "doc_id").join(nodes, "node").select("doc_id").distinct()
+        return shingle_sets(self.docs.join(few(ids, ids.count()), "doc_id", "left_semi"))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) of nodes whose multisets overlap by the threshold."""
-        used = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-        ids = self.nodes.select("node", "doc_id").join(used, "node").select("doc_id").distinct()
-        sets = shingle_sets(self.docs.join(few(ids, ids.count()), "doc_id", "left_semi"))
+        sets = self.sets(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct())
         got = pairs.join(sets.select(F.col("node").alias("x"), F.col("items").alias("xs")), "x").join(sets.select(F.col("node").alias("y"), F.col("items").alias("ys")), "y")
         both = F.size(F.array_intersect("xs", "ys"))
         return got.where(both >= self.threshold * (F.size("xs") + F.size("ys") - both) - 1e-9).select("x", "y").distinct()
@@ -241,28 +250,53 @@ class Grouping:
             if not moved:
                 return label.select("node", "component")
 
+    def mixed(self, links: DataFrame) -> DataFrame:
+        """Rows (key, node, n, company, component) of the buckets that hold nodes of several components."""
+        rows = self.buckets.join(self.components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("members")).where("c1 != c2 and members > 2").select("key")
+        return table(rows.join(mixed, "key", "left_semi"), "bagminhash-mixed")
+
+    @staticmethod
+    def besides(rows: DataFrame) -> DataFrame:
+        """The rows that are not in the largest component of their bucket."""
+        size = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+        main = size.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main")).select("key", F.col("main.component").alias("main"))
+        return rows.join(main, "key").where("component != main").drop("main")
+
+    def rare_pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs of nodes of different components that share one of their rarest items, one of them beside the largest."""
+        least = rows.groupBy("key").agg(F.min("n").alias("least"))
+        nodes = rows.join(least, "key").groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("least").alias("least"))
+        t = self.threshold
+        # the least overlap with a partner that is as small as the buckets and the threshold allow
+        partner = F.greatest(F.ceil(F.col("n") * t - 1e-9), F.col("least"))
+        overlap = F.ceil((F.col("n") + partner) * (t / (1 + t)) - 1e-9)
+        nodes = table(nodes.withColumn("prefix", (F.col("n") - overlap + 1).cast("int")), "bagminhash-prefixes")
+        items = self.sets(nodes.select("node")).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("items").alias("item"))
+        items = table(items, "bagminhash-items")
+        seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+        ranked = items.join(seen, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("l"))  # a document's items
+        prefix = ranked.join(nodes, "node").select("node", "n", "component", F.explode(F.slice("l", F.lit(1), F.greatest("prefix", F.lit(1)))).alias("i"))
+        prefix = table(prefix.where("i.df > 1").select("node", "n", "component", F.col("i.item").alias("item")), "bagminhash-prefix")
+        drop_table(items)
+        few_rows = self.besides(rows).select("node").distinct()
+        a = prefix.join(few_rows, "node", "left_semi").alias("a")
+        return a.join(prefix.alias("b"), "item").where("a.component != b.component").selectExpr("a.node as x", "a.n as nx", "b.node as y", "b.n as ny")
+
     def linked(self) -> DataFrame:
         """node, component for every node that has a link."""
-        tested = table(self.compared(self.buckets.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("centre.node").alias("y"), F.col("centre.n").alias("ny"))), "bagminhash-tested")
+        tested = table(self.compared(self.around(self.buckets, self.buckets)), "bagminhash-tested")
         links = table(self.verified(tested), "bagminhash-links")
-        for turn in range(1, STAR_ROUNDS + 2):
-            components = self.components(links)
-            rows = self.buckets.select("key", "node", "n").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("members")).where("c1 != c2 and members > 2").select("key")
-            rows = table(rows.join(mixed, "key", "left_semi"), "bagminhash-mixed")
-            if turn <= STAR_ROUNDS:
-                centre = F.struct(F.xxhash64("node.a", "node.b", F.lit(turn)).alias("p"), "node", "n", "component")
-                other = rows.groupBy("key").agg(F.min(centre).alias("c")).select("key", "c.*")
-            else:
-                other = rows  # whatever is left: all pairs of different components
-            pairs = rows.alias("a").join(other.alias("b"), "key").where("a.component != b.component").selectExpr("a.node as x", "a.n as nx", "b.node as y", "b.n as ny")
+        for step in ("beside", "rare"):
+            rows = self.mixed(links)
+            if not rows.limit(1).count():
+                break
+            own = self.besides(rows) if step == "beside" else None
+            pairs = self.around(own, own) if step == "beside" else self.rare_pairs(rows)
             pairs = table(self.compared(pairs).join(tested, ["x", "y"], "left_anti"), "bagminhash-tested")
-            if not pairs.limit(1).count():
-                if turn > STAR_ROUNDS or not rows.limit(1).count():
-                    return components
-                continue
-            tested = tested.unionByName(pairs)
-            links = links.unionByName(table(self.verified(pairs), "bagminhash-links"))
+            if pairs.limit(1).count():
+                tested = tested.unionByName(pairs)
+                links = links.unionByName(table(self.verified(pairs), "bagminhash-links"))
         return self.components(links)
 
     def classes(self) -> DataFrame:

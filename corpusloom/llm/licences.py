@@ -9,8 +9,8 @@ least 0.5); a paragraph whose best family reaches less is "unknown" if "none" is
 A prediction is confirmed if the paragraph holds at least CONFIRM of the word pairs of one of the family's notices.
 
 Scoring is one pass without a shuffle, built-in functions only.  The weights follow from the templates and the bounded
-sample, so their size is bounded.  A paragraph without any n-gram that speaks for a family can be nothing but "none"; such
-paragraphs, and documents without any word of such n-grams, are settled by a substring test.
+sample, so their size is bounded.  The weights give a set of words without
+which no paragraph can be anything but "none"; paragraphs and documents without these words are settled by substring tests.
 
 Defined cases: null and empty texts have no paragraphs.  Repeated rows each give a row.  Upper and lower case, punctuation
 and white space do not count.  An empty table gives an empty result.
@@ -100,7 +100,7 @@ NEAR_MISSES = [
     "Students of the institute read the version of the text.",
     "The permission slip must be signed by the parents.",
 ]
-NEGATIVES, VARIANTS, CONFIRM = 3000, 24, 0.6
+NEGATIVES, VARIANTS, CONFIRM = 3000, 16, 0.6
 NONE, UNKNOWN = "none", "unknown"
 
 
@@ -148,14 +148,27 @@ def covers(gram: Column, notices: Column) -> Column:
 class Model:
     """Weights of the n-grams that count, one number per class; the threshold for families."""
 
-    def __init__(self, classes, intercepts, weights, threshold, notices):
+    def __init__(self, classes, intercepts, weights, threshold, notices, usual):
         self.classes, self.intercepts, self.weights, self.threshold, self.notices = classes, intercepts, weights, threshold, notices
+        self.usual = usual  # word -> how often it stands in running text; only speed depends on it
 
     def anchors(self) -> list[str]:
-        """Words one of which stands in every paragraph that can be given a family: of each n-gram that speaks for a
-        family the longest word, without those that contain another."""
+        """Words one of which stands in every paragraph that can be given a family.
+
+        N-grams are set aside, those of usual words first, as long as all of them together could not lift any family
+        above "none"; of each n-gram that is left, the rarest word is an anchor.
+        """
         none = self.classes.index(NONE)
-        found = {max(g.split(" "), key=lambda w: (len(w), w)) for g, w in self.weights.items() if max(w) - w[none] > 0}
+        rank = lambda w: (self.usual.get(w, 0), -len(w), w)
+        rarest = lambda g: min(g.split(" "), key=rank)
+        room = [self.intercepts[none] - b for b in self.intercepts]
+        found = set()
+        for g, w in sorted(self.weights.items(), key=lambda x: (rank(rarest(x[0])), x[0]), reverse=True):
+            gain = [max(0.0, x - w[none]) for x in w]
+            if all(r > x for c, (r, x) in enumerate(zip(room, gain, strict=True)) if c != none):
+                room = [r - x for r, x in zip(room, gain, strict=True)]
+            else:
+                found.add(rarest(g))
         return sorted(a for a in found if not any(b != a and b in a for b in found))
 
     def scored(self, gram: Column) -> Column:
@@ -189,17 +202,19 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
                 left, right = ([rng.choice(around) for _ in range(rng.randrange(0, 12))] if v else [] for _ in range(2))
                 rows.append({"f": f, "t": " ".join([*left, *w, *right])})
     data = literal(spark, rows, "f:string,t:string").unionByName(own).select("f", grams(F.col("t")).alias("grams"), (F.pmod(F.xxhash64("t", F.lit(2)), F.lit(2)) == 0).alias("fit"))
-    data = data.repartition(2).persist()
+    data = data.repartition(1).persist()  # a few thousand rows
     try:
         cv = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=20_000, minDF=2).fit(data.where("fit"))
         classes = [*TEMPLATES, NONE]
         label = F.array_position(strings(classes), F.col("f")).cast("double") - 1
         fit = cv.transform(data.where("fit")).select(label.alias("label"), "features")
-        lr = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=1.0, maxIter=60, standardization=False).fit(fit)
+        lr = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=1.0, maxIter=30, standardization=False).fit(fit)
         m, b = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
         k = m.shape[0]  # classes after the last label seen do not occur
         weights = {g: [round(float(m[c, i]), 6) if c < k else 0.0 for c in range(len(classes))] for i, g in enumerate(cv.vocabulary) if abs(m[:, i]).max() > 1e-4}
-        model = Model(classes, [float(x) for x in b] + [-99.0] * (len(classes) - k), weights, 0.5, notices)
+        usual = data.where(F.col("f") == NONE).select(F.explode("grams").alias("g")).where(F.col("g").isin(sorted({w for g in weights for w in g.split(" ")}))).groupBy("g").count()
+        usual = dict(usual.collect())  # words of the model only
+        model = Model(classes, [float(x) for x in b] + [-99.0] * (len(classes) - k), weights, 0.5, notices, usual)
         s = data.where("not fit and f = 'none'").select(model.scored(F.col("grams")).alias("s")).where(F.col("s.k") != classes.index(NONE) + 1)
         held = data.where("not fit and f = 'none'").count()
         wrong = [r[0] for r in s.select("s.p").sort(F.desc("p")).take(held // 200 + 1)] if held else []
