@@ -100,7 +100,7 @@ NEAR_MISSES = [
     "Students of the institute read the version of the text.",
     "The permission slip must be signed by the parents.",
 ]
-NEGATIVES, VARIANTS, CONFIRM = 3000, 16, 0.6
+NEGATIVES, VARIANTS, CONFIRM = 3000, 24, 0.6
 NONE, UNKNOWN = "none", "unknown"
 
 
@@ -208,7 +208,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
         classes = [*TEMPLATES, NONE]
         label = F.array_position(strings(classes), F.col("f")).cast("double") - 1
         fit = cv.transform(data.where("fit")).select(label.alias("label"), "features")
-        lr = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=1.0, maxIter=30, standardization=False).fit(fit)
+        lr = LogisticRegression(family="multinomial", regParam=0.0005, elasticNetParam=1.0, maxIter=60, standardization=False).fit(fit)
         m, b = lr.coefficientMatrix.toArray(), lr.interceptVector.toArray()
         k = m.shape[0]  # classes after the last label seen do not occur
         weights = {g: [round(float(m[c, i]), 6) if c < k else 0.0 for c in range(len(classes))] for i, g in enumerate(cv.vocabulary) if abs(m[:, i]).max() > 1e-4}
