@@ -6,6 +6,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 PAGE = "track_id string, html string, url string, main_html string, convert_main_content string, groundtruth_content string, meta struct<language:string,level:string>"
 RUN = "id string, experiment string, launch string, kind string, note string, config string, result string, started string, ended string"
@@ -44,7 +45,7 @@ def pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return meta.join(html, "file_id", "full_outer")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _guess(content: pd.Series) -> pd.Series:
     from charset_normalizer import from_bytes
 
@@ -63,7 +64,7 @@ def decoded(files: DataFrame) -> DataFrame:
     return good.unionByName(bad).drop("content")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def gunzip(content: pd.Series) -> pd.Series:
     return content.map(gzip.decompress, na_action="ignore")
 

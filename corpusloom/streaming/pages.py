@@ -16,15 +16,20 @@ def labelled(pages: DataFrame, at: str | None = None, delay: str = "1 hour") ->
     return dom.lines(once)
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """Event times as instants: watermarks take no time without a zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def latencies(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes", slide: str | None = None) -> DataFrame:
     """Count, mean and maximum per window and type; late rows beyond the watermark are dropped by the engine."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    out = events.withWatermark("ts", delay).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most"))
+    out = timed(events).withWatermark("ts", delay).groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.max("value").alias("most"))
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "mean", "most")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
-    out = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    out = timed(events).withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
 
 
