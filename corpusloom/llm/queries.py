@@ -81,7 +81,30 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = spans.deduplicate(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), "firsts", F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "n_sentences", "n_removed", (F.col("n_removed") > 0).alias("repeats"), F.array_min("firsts").alias("first_doc_id"), F.size("firsts").cast("bigint").alias("n_firsts"), F.length("text").cast("bigint").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP7_SQL = rf"""
+WITH s0 AS (
+  SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?]\s+|[。！？]\s*|\n\s*)', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM documents
+), sen AS (SELECT doc_id, unnest(l) AS text, unnest(range(len(l))) AS i FROM s0 WHERE l IS NOT NULL),
+w AS (SELECT doc_id, i, {WORDS_SQL} AS w FROM sen),
+x AS (
+  SELECT doc_id, i, w, len(w) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY i) - len(w) AS before
+  FROM w WHERE len(w) > 0
+), r AS (
+  SELECT a.doc_id, a.i AS a, a.k, min(b.k) AS kb FROM x a JOIN x b ON a.doc_id = b.doc_id AND b.k >= a.k + 2 AND b.before + b.n - a.before >= 12 GROUP BY ALL
+), sp AS (
+  SELECT r.doc_id, r.a, max(b.i) + 1 AS b, string_agg(array_to_string(b.w, ' '), '|' ORDER BY b.k) AS key FROM r JOIN x b ON b.doc_id = r.doc_id AND b.k BETWEEN r.k AND r.kb GROUP BY r.doc_id, r.a
+), f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id, a) AS o, first_value(doc_id) OVER (PARTITION BY key ORDER BY doc_id, a) AS fd FROM sp),
+gone AS (SELECT doc_id, unnest(range(a, b)) AS i, fd FROM f WHERE o > 1),
+g AS (SELECT doc_id, count(DISTINCT i) AS n_removed, min(fd) AS first_doc_id, count(DISTINCT fd) AS n_firsts FROM gone GROUP BY doc_id),
+rest AS (SELECT doc_id, string_agg(text, '' ORDER BY i) AS t FROM sen ANTI JOIN (SELECT DISTINCT doc_id, i FROM gone) USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(l), 0) AS BIGINT) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(n_removed, 0) > 0 AS repeats, first_doc_id,
+       coalesce(n_firsts, 0) AS n_firsts, CAST(length(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END) AS BIGINT) AS n_chars_left,
+       sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END) AS text_sha256
+FROM documents d JOIN s0 USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN rest USING (doc_id)
+"""
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +130,22 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+OP9_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents WHERE text IS NOT NULL),
+c AS (
+  SELECT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS s, count(*) AS c
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0) GROUP BY ALL
+), n AS (SELECT doc_id, sum(c) AS n FROM c GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS o FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y, o = p.n AND o = q.n AS same FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE o >= 0.8 * (p.n + q.n - o) - 1e-9),
+both_ways AS (SELECT x, y, same FROM e UNION ALL SELECT y, x, same FROM e),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON r = x),
+class AS (SELECT doc_id, min(r) AS class_id, count(*) AS class_size FROM reach GROUP BY doc_id),
+same AS (SELECT x AS doc_id, count(*) FILTER (same) AS k FROM both_ways GROUP BY x)
+SELECT doc_id, class_id, class_size, coalesce(k, 0) + 1 AS copies FROM class LEFT JOIN same USING (doc_id)
+"""
+
+
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.mix(_read(spark, sf_dir, "documents"))
 
@@ -116,4 +155,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": OP3_SQL, "op5_decontaminate": OP5_SQL, "op8_url_filter": OP8_SQL}
+    return {"op3_top_k": OP3_SQL, "op5_decontaminate": OP5_SQL, "op7_sentence_spans": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_near_duplicates": OP9_SQL}
