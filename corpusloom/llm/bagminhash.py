@@ -16,7 +16,7 @@ overlap gives a similarity of THRESHOLD or more.  What a bucket then holds besid
 its own.  Where a bucket still holds several components, an exact prefix filter gives the pairs that are left: to be
 similar enough, two multisets must share one of their rarest items, n - o + 1 of them if o is the least overlap that the
 sizes in their buckets allow.  Nodes outside the largest component of such a bucket are joined on these items with all
-others, and the pairs not compared so far are verified.  So no link between nodes that share a bucket is lost, and no
+others, and the pairs not compared so far are verified, but for those that the items found in no other node rule out.  So no link between nodes that share a bucket is lost, and no
 bucket is expanded into all its pairs.
 
 Scale: each task keeps a group of texts; sketches are 220 bytes a document; shingle sets are only made for documents in
@@ -276,12 +276,14 @@ class Grouping:
         items = table(items, "bagminhash-items")
         seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
         ranked = items.join(seen, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("l"))  # a document's items
-        prefix = ranked.join(nodes, "node").select("node", "n", "component", F.explode(F.slice("l", F.lit(1), F.greatest("prefix", F.lit(1)))).alias("i"))
-        prefix = table(prefix.where("i.df > 1").select("node", "n", "component", F.col("i.item").alias("item")), "bagminhash-prefix")
+        common = F.size(F.filter("l", lambda i: i["df"] > 1)).alias("common")  # no overlap is larger
+        prefix = ranked.join(nodes, "node").select("node", "n", "component", common, F.explode(F.slice("l", F.lit(1), F.greatest("prefix", F.lit(1)))).alias("i"))
+        prefix = table(prefix.where("i.df > 1").select("node", "n", "component", "common", F.col("i.item").alias("item")), "bagminhash-prefix")
         drop_table(items)
         few_rows = self.besides(rows).select("node").distinct()
         a = prefix.join(few_rows, "node", "left_semi").alias("a")
-        return a.join(prefix.alias("b"), "item").where("a.component != b.component").selectExpr("a.node as x", "a.n as nx", "b.node as y", "b.n as ny")
+        enough = F.least("a.common", "b.common") >= (F.col("a.n") + F.col("b.n")) * (t / (1 + t)) - 1e-9
+        return a.join(prefix.alias("b"), "item").where("a.component != b.component").where(enough).selectExpr("a.node as x", "a.n as nx", "b.node as y", "b.n as ny")
 
     def linked(self) -> DataFrame:
         """node, component for every node that has a link."""
