@@ -36,7 +36,7 @@ from .common import WordHasher, drop_table, grams, groups, mix, table, within
 SHINGLE, THRESHOLD = 5, 0.8
 M, BANDS, ROWS = 128, 25, 5
 #: Ids up to this number (8 bytes each) are broadcast, more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
 
