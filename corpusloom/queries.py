@@ -314,10 +314,10 @@ def domain_split_greedy(spark, sf_dir):
 
 def _folds(spark, sf_dir) -> DataFrame:
     p = _sites(spark, sf_dir)
-    return p.withColumn("fold", F.when(F.col("page_id") % 5 == 0, "val").otherwise("train"))
+    return p.withColumn("fold", F.when(F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 1).isin("0", "1", "2"), "val").otherwise("train"))
 
 
-@query(_SITES + """, f AS (SELECT *, CASE WHEN page_id % 5 = 0 THEN 'val' ELSE 'train' END AS fold FROM p), v AS (SELECT level, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM f WHERE fold = 'val' GROUP BY level),
+@query(_SITES + """, f AS (SELECT *, CASE WHEN substr(sha256(CAST(page_id AS VARCHAR)), 1, 1) IN ('0', '1', '2') THEN 'val' ELSE 'train' END AS fold FROM p), v AS (SELECT level, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM f WHERE fold = 'val' GROUP BY level),
  t AS (SELECT page_id, level, row_number() OVER (PARTITION BY level ORDER BY sha256('20260815|' || page_id), page_id) AS k FROM f WHERE fold = 'train')
 SELECT page_id, level FROM (SELECT page_id, t.level, coalesce((k - 0.5) / share, 1e18 + k) AS place FROM t LEFT JOIN v USING (level)) ORDER BY place, level, page_id LIMIT 60""")
 def train_subset_nested(spark, sf_dir):
@@ -330,11 +330,12 @@ def holdout_language(spark, sf_dir):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.lang, b.lang) AS lang, coalesce(b.source, a.source) AS source_name, CASE WHEN b.doc_id IS NULL THEN 'full' WHEN a.doc_id IS NULL THEN 'test' ELSE 'both' END AS source
-FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, upper(lang) AS lang, source || '!' AS source FROM documents WHERE doc_id % 2 = 0) b ON a.doc_id = b.doc_id""")
+FROM (SELECT doc_id, lang, source FROM documents WHERE lang <> 'es') a FULL JOIN (SELECT doc_id, upper(lang) AS lang, source || '!' AS source FROM documents JOIN labels USING (doc_id)) b ON a.doc_id = b.doc_id""")
 def merge_precedence(spark, sf_dir):
+    """One corpus without a language, and the labelled documents of all languages."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("source_name"))
-    small = d.where("doc_id % 2 = 0").select("doc_id", F.upper("lang").alias("lang"), F.concat("source_name", F.lit("!")).alias("source_name"))
-    return splits.merge(d.where("doc_id % 3 <> 0"), small, "doc_id", {"lang": "big", "source_name": "small"})
+    small = d.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("doc_id", F.upper("lang").alias("lang"), F.concat("source_name", F.lit("!")).alias("source_name"))
+    return splits.merge(d.where("lang <> 'es'"), small, "doc_id", {"lang": "big", "source_name": "small"})
 
 
 @query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'right' ELSE 'left' END AS side FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL")
@@ -347,18 +348,18 @@ def missing_ids(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query(_SITES.replace("AS site,", "AS site, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '(?s)#.*$', ''), '/+$', ''), '^https://', ''), '^http://', ''), '^www\\.', '') AS norm,") + """, f AS (SELECT *, CASE WHEN page_id % 5 = 0 THEN 'val' ELSE 'train' END AS fold FROM p), o AS (SELECT * FROM f WHERE page_id % 4 = 1),
+@query(_SITES.replace("AS site,", "AS site, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '(?s)#.*$', ''), '/+$', ''), '^https://', ''), '^http://', ''), '^www\\.', '') AS norm,") + """, f AS (SELECT *, CASE WHEN substr(sha256(CAST(page_id AS VARCHAR)), 1, 1) IN ('0', '1', '2') THEN 'val' ELSE 'train' END AS fold FROM p), o AS (SELECT * FROM f WHERE language = 'de'),
  u AS (SELECT fold, count(DISTINCT norm) AS urls FROM f WHERE norm IN (SELECT norm FROM o) GROUP BY fold), d AS (SELECT fold, count(DISTINCT site) AS domains FROM f WHERE site IN (SELECT site FROM o) GROUP BY fold)
 SELECT coalesce(u.fold, d.fold) AS fold, coalesce(urls, 0) AS urls, coalesce(domains, 0) AS domains FROM u FULL JOIN d ON u.fold = d.fold""")
 def url_overlap(spark, sf_dir):
     f = _folds(spark, sf_dir)
-    return splits.overlap(f.where("page_id % 4 = 1"), f, "norm", "site", "fold")
+    return splits.overlap(f.where("language = 'de'"), f, "norm", "site", "fold")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM (SELECT doc_id FROM documents WHERE doc_id % 7 = 0), range(3))")
+@query("SELECT count(*) AS n, count(DISTINCT doc_id) AS ids FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'de'), range(3))")
 def replicated_union(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id")
-    return splits.replicated(d, d.where("doc_id % 7 = 0"), 3).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return splits.replicated(d, d.where("lang = 'de'"), 3).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"))
 
 
 @query("SELECT sha256(string_agg(l, chr(10) ORDER BY k)) AS manifest, count(*) AS n FROM (SELECT CAST(doc_id AS VARCHAR) AS k, sha256(coalesce(text, '')) || '  ' || doc_id AS l FROM documents)")
@@ -459,10 +460,10 @@ def sweep_expand(spark, sf_dir):
     return experiments.expand(spark, SPEC)
 
 
-@query(f"SELECT config, n FROM ({_EXPAND}) WHERE n % 3 <> 1")
+@query(f"""SELECT config, n FROM ({_EXPAND}) WHERE config NOT LIKE '%"layers": 8%'""")
 def resume_todo(spark, sf_dir):
     all_ = experiments.expand(spark, SPEC)
-    return experiments.todo(all_, all_.where("n % 3 = 1"))
+    return experiments.todo(all_, all_.where(F.col("config").contains('"layers": 8')))
 
 
 # ---- features and models
@@ -512,8 +513,9 @@ def threshold_scan(spark, sf_dir):
 @query()
 def linear_head(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 3).cast("int"))
-    m = model.linear_head(e.where("vec_id % 5 <> 0"), "embedding", "y")
-    return model.probability(e.where("vec_id % 5 = 0"), m, "embedding").select("vec_id", "y", "prob")
+    train = F.substring(F.sha2(F.col("vec_id").cast("string"), 256), 1, 1) > "2"
+    m = model.linear_head(e.where(train), "embedding", "y")
+    return model.probability(e, m, "embedding").select("vec_id", "y", train.alias("train"), "prob")
 
 
 @query()
