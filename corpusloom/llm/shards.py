@@ -1,18 +1,21 @@
 """Training-order materialisation: token ids as fixed-stride binary shards, in a keyed order.
 
-Every text becomes token ids and an end mark, cut into sequences of ``seq_len`` ids (the last one is filled up).  A first
-pass counts the sequences of each input partition, so that every sequence gets a dense index; a Feistel network over the
-next even power of two, walked until it falls into range, permutes the indices: the global slot.  Slot s lies in shard
-``s // shard_rows`` at byte ``(s % shard_rows) * stride``: a reader that has seen s sequences goes on at that byte.
+Every text becomes token ids and an end mark, cut into sequences of ``seq_len`` ids (the last one is filled up).  Byte-level
+ids are never more than the bytes, so the lengths of the texts bound the sequences of each input partition; that gives
+every sequence an index of its own before anything is tokenised.  A Feistel network over the next even power of two, walked
+until it falls into range, permutes the indices; the order of the results is the training order, and a sequence's global
+slot is its rank in it.  Shards are equal ranges of the permuted indices, each sorted; they hold nearly equal numbers of
+records, and their lengths (number of records = bytes / stride) tell where each one's slots begin: a reader that has seen s
+sequences finds its shard among these sums and goes on at ``(s - first slot) * stride`` (see position()).
 
 Record (little endian): seq_len ids of 16 bits, doc_id (64 bits), number of the sequence in its document (32 bits),
 ids in use (32 bits).  The last byte of that count is always 0.  Shards are written by Spark's text writer with the byte
 0 as line end, which supplies just that byte; so shards are committed like any other Spark output (a lost executor or a
 second attempt leaves nothing half written) and may lie in any store that Spark writes to.
 
-Scale: one shuffle, of the records, by shard; each shard is sorted by its own task.  Both passes read the same file
-splits in the same order, so ``docs`` must be a plain scan of files (else pass ``docs`` through a table first); the second
-pass fails if the counts disagree.  Shard sizes grow with the corpus from 2**14 to 2**17 rows.
+Scale: texts are tokenised once; one shuffle, of the records, by shard; each shard is sorted by its own task.  Lengths and
+texts are read in two passes over the same file splits, so ``docs`` must be a plain scan of files (else pass it through a
+table first); the second pass fails if it finds more than the first one allows.
 
 Defined cases: null texts have no sequence; empty ones have one, with the end mark only.  A null doc_id is stored as
 -2**63.  Repeated rows are written as often as they occur.  An empty table gives no record.
@@ -20,6 +23,7 @@ Defined cases: null texts have no sequence; empty ones have one, with the end ma
 
 import base64
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +52,7 @@ class Tokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, two bytes each."""
-        try:
-            ids = np.frombuffer(self.encoding._core_bpe.encode_to_tiktoken_buffer(text, set()), "<u4")
-        except (UnicodeEncodeError, AttributeError):  # lone surrogates; another version of the library
-            ids = np.array(self.encoding.encode_ordinary(text), "<u4")
-        return ids.astype("<u2")
+        return np.array(self.encoding.encode_ordinary(text), "<u2")
 
     @staticmethod
     def shared(vocabulary: bytes) -> "Tokenizer":
@@ -89,8 +89,9 @@ def stride(seq_len: int) -> int:
     return 2 * seq_len + 16
 
 
-def rows_per_shard(n: int) -> int:
-    return min(1 << 17, max(1 << 14, 1 << (-(-n // 1024) - 1).bit_length() if n > 1024 else 1))
+def range_per_shard(n: int) -> int:
+    """Permuted indices in one shard: up to 1024 shards, then larger ones up to 2**18 (about half of that in records)."""
+    return min(1 << 18, max(1 << 15, 1 << (-(-n // 1024) - 1).bit_length() if n > 1024 else 1))
 
 
 def records(ids: list[np.ndarray], doc_ids: list[int], seq_len: int, end: int) -> np.ndarray:
@@ -111,34 +112,29 @@ def records(ids: list[np.ndarray], doc_ids: list[int], seq_len: int, end: int) -
     return out
 
 
-def write_shards(docs: DataFrame, path: str, vocabulary: bytes, seq_len: int = SEQ_LEN, end: int = END, key: int = KEY, shard_rows: int | None = None) -> tuple[int, int]:
-    """Writes the shards of docs(doc_id, text) below ``path``; returns the number of sequences and rows per shard."""
+def write_shards(docs: DataFrame, path: str, vocabulary: bytes, seq_len: int = SEQ_LEN, end: int = END, key: int = KEY, width: int | None = None) -> None:
+    """Writes the shards of docs(doc_id, text) below ``path``; ``width``: permuted indices per shard."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def count(batches):
-        from pyspark import TaskContext
-
-        own, n = Tokenizer.shared(shared.value), 0
-        for batch in batches:
-            n += sum(-(-(len(own.encode(t)) + 1) // seq_len) for t in batch.column("text").to_pylist() if t is not None)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
-
-    parts = dict(rows.mapInArrow(count, "part int, n bigint").collect())  # a row for each split of the input
+    most = F.ceil((F.octet_length("text") + 1) / seq_len)
+    # a row for each split of the input
+    parts = dict(rows.select(F.spark_partition_id().alias("part"), most.alias("n")).groupBy("part").agg(F.coalesce(F.sum("n"), F.lit(0))).collect())
     total = sum(parts.values())
-    width = shard_rows or rows_per_shard(total)
+    width = width or range_per_shard(total)
     at, first = 0, {}
     for p in sorted(parts):
         first[p] = at
         at += parts[p]
-    firsts = spark.sparkContext.broadcast(first)
+    firsts = spark.sparkContext.broadcast((first, parts))
 
     def emit(batches):
         from pyspark import TaskContext
 
+        first, parts = firsts.value
         p = TaskContext.get().partitionId()
-        own, index, last = Tokenizer.shared(shared.value), firsts.value.get(p, 0), firsts.value.get(p, 0) + parts.get(p, 0)
+        own, index = Tokenizer.shared(shared.value), first.get(p, 0)
+        last = index + parts.get(p, 0)
         size = stride(seq_len)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -151,25 +147,39 @@ def write_shards(docs: DataFrame, path: str, vocabulary: bytes, seq_len: int = S
                 if held and (i + 1 == len(texts) or room > 2_000_000):
                     block = records(held, who, seq_len, end)
                     held, who, room = [], [], 0
-                    slot = feistel(np.arange(index, index + len(block)), total, key)
-                    index += len(block)
-                    if index > last:
+                    if index + len(block) > last:
                         raise ValueError("the input changed between two reads: give write_shards a plain scan of files")
+                    place = feistel(np.arange(index, index + len(block)), total, key)
+                    index += len(block)
                     body = np.ascontiguousarray(block[:, :-1])  # the last byte is the writer's
                     offsets = np.arange(len(body) + 1, dtype=np.int32) * (size - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.BinaryArray.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(offsets), pa.py_buffer(body)])], ["slot", "body"])
-        if index != last:
-            raise ValueError("the input changed between two reads: give write_shards a plain scan of files")
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.BinaryArray.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(offsets), pa.py_buffer(body)])], ["place", "body"])
 
     shards = max(1, -(-total // width))
-    out = rows.mapInArrow(emit, "slot bigint, body binary").withColumn("shard", F.expr(f"cast(slot div {width} as int)"))
-    out = out.repartitionById(shards, "shard").sortWithinPartitions("slot")
+    out = rows.mapInArrow(emit, "place bigint, body binary").withColumn("shard", F.expr(f"cast(place div {width} as int)"))
+    out = out.repartitionById(shards, "shard").sortWithinPartitions("place")
     out.select(F.col("body").cast("string").alias("value")).write.option("lineSep", "\x00").option("compression", "none").text(path)
-    return total, width
 
 
-def read_shards(spark: SparkSession, path: str, shard_rows: int, seq_len: int = SEQ_LEN) -> DataFrame:
+def shard_index(spark: SparkSession, path: str, seq_len: int = SEQ_LEN) -> list[tuple[int, str, int, int]]:
+    """(shard, file, first slot, records) of every shard, in order: a row for each file."""
+    files = spark.read.format("binaryFile").load(f"{path}/part-*").where("length > 0").select("path", "length").collect()
+    out, slot = [], 0
+    for shard, name, n in sorted((int(re.search(r"part-(\d+)", f.path.rsplit("/", 1)[1])[1]), f.path, f.length // stride(seq_len)) for f in files):
+        out.append((shard, name, slot, n))
+        slot += n
+    return out
+
+
+def position(index: list[tuple[int, str, int, int]], slot: int, seq_len: int = SEQ_LEN) -> tuple[str, int]:
+    """File and byte at which the record of a slot begins."""
+    _, name, first, _ = index[bisect_right([x[2] for x in index], slot) - 1]
+    return name, (slot - first) * stride(seq_len)
+
+
+def read_shards(spark: SparkSession, path: str, seq_len: int = SEQ_LEN) -> DataFrame:
     """slot, shard, doc_id, seq_no, n_tokens, tokens (binary, the ids in use, two bytes each) of every record."""
+    firsts = spark.sparkContext.broadcast({shard: first for shard, _, first, _ in shard_index(spark, path, seq_len)})
     files = spark.read.format("binaryFile").load(f"{path}/part-*").where("length > 0").select("path", "content")
 
     def each(batches):
@@ -188,7 +198,7 @@ def read_shards(spark: SparkSession, path: str, shard_rows: int, seq_len: int =
                     tokens = pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside])])
                     ids = own[:, 2 * seq_len : 2 * seq_len + 8].copy().view("<i8")[:, 0]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.arange(a, a + len(own)) + shard * shard_rows), pa.array(np.full(len(own), shard, np.int32)),
+                        pa.array(np.arange(a, a + len(own)) + firsts.value[shard]), pa.array(np.full(len(own), shard, np.int32)),
                         pa.array(ids, mask=ids == NO_ID), pa.array(own[:, -8:-4].copy().view("<u4")[:, 0].astype(np.int64)), pa.array(used), tokens,
                     ], ["slot", "shard", "doc_id", "seq_no", "n_tokens", "tokens"])
 
@@ -201,7 +211,7 @@ def vocabulary(path: str = VOCABULARY) -> bytes:
         return f.read()
 
 
-def materialise(docs: DataFrame, path: str, vocabulary_path: str = VOCABULARY, seq_len: int = SEQ_LEN, key: int = KEY, shard_rows: int | None = None) -> DataFrame:
+def materialise(docs: DataFrame, path: str, vocabulary_path: str = VOCABULARY, seq_len: int = SEQ_LEN, key: int = KEY, width: int | None = None) -> DataFrame:
     """Writes the shards and gives one row per record as read back: slot, shard, doc_id, seq_no, n_tokens, tokens_sha256."""
-    _, width = write_shards(docs, path, vocabulary(vocabulary_path), seq_len, END, key, shard_rows)
-    return read_shards(docs.sparkSession, path, width, seq_len).select("slot", "shard", "doc_id", "seq_no", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
+    write_shards(docs, path, vocabulary(vocabulary_path), seq_len, END, key, width)
+    return read_shards(docs.sparkSession, path, seq_len).select("slot", "shard", "doc_id", "seq_no", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))

@@ -1,4 +1,3 @@
-import glob
 import hashlib
 import os
 from collections import Counter
@@ -34,7 +33,7 @@ def test_round_trip_and_resume(spark, tmp_path):
     rows = [(i, " ".join(r.choice(words, int(r.integers(0, 60))))) for i in range(150)] + [(None, "x y"), (7, None), (8, ""), (9, "z " * 30_000), (3, "again"), (3, "again")]
     docs = table(spark.createDataFrame([(i, t, 5, "k") for i, t in rows], "doc_id long, text string, slot int, tokens string"), "t")
     path = str(tmp_path / "out")
-    total, width = shards.write_shards(docs, path, VOCAB, seq_len=16, shard_rows=100)
+    shards.write_shards(docs, path, VOCAB, seq_len=16, width=300)
     own = shards.Tokenizer(VOCAB)
     want, of = Counter(), {}
     for i, t in rows:
@@ -42,17 +41,23 @@ def test_round_trip_and_resume(spark, tmp_path):
             ids = [*own.encoding.encode_ordinary(t), shards.END]
             for k in range(0, len(ids), 16):
                 want[(i, k // 16, tuple(ids[k : k + 16]))] += 1
-    assert total == sum(want.values())
-    got = shards.read_shards(spark, path, width, 16).collect()
+    total = sum(want.values())
+    got = shards.read_shards(spark, path, 16).collect()
     assert Counter((x.doc_id, x.seq_no, tuple(np.frombuffer(x.tokens, "<u2").tolist())) for x in got) == want
-    assert sorted(x.slot for x in got) == list(range(total)) and all(x.shard == x.slot // 100 for x in got)
-    files = {int(os.path.basename(f)[5:10]): f for f in glob.glob(f"{path}/part-*")}
-    assert all(os.path.getsize(f) == shards.stride(16) * min(100, total - 100 * k) for k, f in files.items())
+    assert sorted(x.slot for x in got) == list(range(total)) and len({x.shard for x in got}) > 5
+    index = shards.shard_index(spark, path, 16)
+    assert sum(n for *_, n in index) == total and all(os.path.getsize(f.removeprefix("file:")) == n * shards.stride(16) for _, f, _, n in index)
     for x in got[:50]:  # any record stands at its byte
-        with open(files[x.slot // width], "rb") as f:
-            f.seek(x.slot % width * shards.stride(16))
+        name, at = shards.position(index, x.slot, 16)
+        with open(name.removeprefix("file:"), "rb") as f:
+            f.seek(at)
             rec = f.read(shards.stride(16))
         assert rec[: 2 * x.n_tokens] == x.tokens and rec[-1] == 0
+    again = str(tmp_path / "again")
+    shards.write_shards(docs, again, VOCAB, seq_len=16, width=300)
+    assert sorted(map(tuple, shards.read_shards(spark, again, 16).collect())) == sorted(map(tuple, got))
+    shards.write_shards(docs, again + "k", VOCAB, seq_len=16, key=5, width=300)
+    assert sorted(map(tuple, shards.read_shards(spark, again + "k", 16).collect())) != sorted(map(tuple, got))
 
 
 def test_empty_table(spark, tmp_path):
