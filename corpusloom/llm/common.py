@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Texts are hashed in groups of about so many bytes, whatever the Arrow batch holds.
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 2_000_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -68,7 +68,7 @@ class WordHasher:
         """Word hashes, starts and ends (byte offsets) of one buffer."""
         low = self.table[np.frombuffer(data, np.uint8)]
         if len(low) + 1 > len(self.up):
-            self.grow(2 * len(low) + 2)
+            self.grow(len(low) + len(low) // 4 + 2)
         inside = np.zeros(len(low) + 2, np.int8)
         inside[1:-1] = low != 0
         edge = np.diff(inside)
