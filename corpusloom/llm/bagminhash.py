@@ -28,7 +28,7 @@ their class.  A class is named by its least doc_id (null if all are null).  Repe
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHasher, drop_table, grams, groups, mix, table, within
@@ -148,14 +148,20 @@ def lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
 
 
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"].cast("string"))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the multiset; null without words), n (shingles), bands."""
+    """doc_id, at (hash of the text: tells rows of one id apart), node (digest of the multiset; null without words), n
+    (shingles), bands."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
         own = Sketcher()
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            at = batch.column("at")
             for part in groups(texts):
                 some = texts[part]
                 doc, s, w = own.multisets(some)
@@ -164,9 +170,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 n = np.bincount(doc, w, minlength=len(some)).astype(np.int64)
                 none = n == 0
                 node = pa.StructArray.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["a", "b"], mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([ids[part], node, pa.array(n), lists(keys[~none].view(np.int64).reshape(-1), np.where(none, 0, BANDS))], ["doc_id", "node", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([ids[part], at[part], node, pa.array(n), lists(keys[~none].view(np.int64).reshape(-1), np.where(none, 0, BANDS))], ["doc_id", "at", "node", "n", "bands"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(each, f"doc_id {kind}, node struct<a:bigint,b:bigint>, n bigint, bands array<bigint>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash(docs).alias("at")).mapInArrow(each, f"doc_id {kind}, at bigint, node struct<a:bigint,b:bigint>, n bigint, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -201,9 +207,10 @@ class Grouping:
         self.docs, self.threshold = docs, threshold
         self.sketches = table(sketches(docs), "bagminhash-sketches")
         self.nodes = table(
-            self.sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+            self.sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
             "bagminhash-nodes",
         )
+        self.unnamed = self.nodes.where("doc_id is null").limit(1).count() > 0
         keys = self.nodes.select("node", "n", F.explode("bands").alias("key"))
         shared = table(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "key"), "bagminhash-shared")
         company = shared.groupBy("node").agg(F.sum("members").alias("company"))
@@ -219,8 +226,15 @@ class Grouping:
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, items of the nodes given: from one document of each."""
-        ids = self.nodes.select("node", "doc_id").join(nodes, "node").select("doc_id").distinct()
-        return shingle_sets(self.docs.join(few(ids, ids.count()), "doc_id", "left_semi"))
+        own = self.nodes.select("node", "doc_id", "at").join(nodes, "node")
+        ids = own.where("doc_id is not null").select("doc_id").distinct()
+        texts = self.docs.join(few(ids, ids.count()), "doc_id", "left_semi").select("text")
+        if self.unnamed:  # nodes without an id are found by the hash of a text, copies of that text once
+            ats = own.where("doc_id is null").select("at").distinct()
+            rows = self.docs.where("doc_id is null").select(F.col("text").cast("string").alias("text"))
+            rows = rows.join(few(ats, ats.count()), text_hash(rows) == ats["at"], "left_semi")
+            texts = texts.select(F.col("text").cast("string").alias("text")).unionByName(rows.dropDuplicates(["text"]))
+        return shingle_sets(texts)
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) of nodes whose multisets overlap by the threshold."""

@@ -66,6 +66,19 @@ def test_like_brute_force(spark):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
 
 
+def test_near_copies_without_an_id(spark):
+    r = np.random.default_rng(7)
+    word = lambda n: [f"u{i}" for i in r.integers(0, 10**6, n)]
+    base, other, chain = word(100), word(100), word(110)
+    rows = [(1, " ".join(base)), (None, " ".join([*base[:-1], "x"])), (None, " ".join([*base[:-1], "x"]))]  # beside a named one
+    rows += [(None, " ".join(other)), (None, " ".join(["y", *other[1:]]))]  # only rows without an id
+    rows += [(2, " ".join(chain[:90])), (None, " ".join(chain[9:99])), (3, " ".join(chain[18:108]))]  # the bridge has none
+    rows += [(4, " ".join(word(50))), (None, " ".join(word(50)))]
+    want = brute(rows)
+    assert {(1, 1, 3, 1), (2, 2, 3, 1), (3, 2, 3, 1)} <= set(want)
+    assert sorted((tuple(x) for x in run(spark, rows)[1].collect()), key=repr) == want
+
+
 def test_bridges_are_found_when_no_centre_reaches(spark):
     r = np.random.default_rng(4)  # a chain: neighbours are alike, ends are not
     words = [f"v{i}" for i in r.integers(0, 10**6, 400)]
