@@ -35,7 +35,7 @@ from .common import WordHasher, drop_table, grams, groups, mix, table, within
 
 SHINGLE, THRESHOLD = 5, 0.8
 M, BANDS, ROWS = 128, 25, 5
-#: Ids up to this number (8 bytes each) are broadcast, more are joined by a shuffle.
+#: Ids up to this number (8 bytes each, 16 with the hash of a text) are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
@@ -196,7 +196,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 
 def few(ids: DataFrame, count: int) -> DataFrame:
-    """A broadcast where the rows (8 bytes each) were counted to be few."""
+    """A broadcast where the rows (8 or 16 bytes each) were counted to be few."""
     return F.broadcast(ids) if count <= BROADCAST_IDS else ids
 
 
@@ -207,7 +207,7 @@ class Grouping:
         self.docs, self.threshold = docs, threshold
         self.sketches = table(sketches(docs), "bagminhash-sketches")
         self.nodes = table(
-            self.sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
+            self.sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.min(F.expr("if(doc_id is null, null, struct(doc_id, at))")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
             "bagminhash-nodes",
         )
         self.unnamed = self.nodes.where("doc_id is null").limit(1).count() > 0
@@ -316,32 +316,37 @@ class Grouping:
         return self.components(links)
 
     def classes(self) -> DataFrame:
-        """doc_id, class_id, class_size, copies: a row for each row of the documents."""
+        """doc_id, at, class_id, class_size, copies, stays (the row that a class with an id keeps): a row for each row of
+        the documents."""
         linked = self.linked()
-        named = self.nodes.select("node", "doc_id", "copies").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        whole = named.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-        named = named.join(whole, "component").where("class_size > 1").select("node", "class_id", "class_size", "copies")
-        return self.sketches.select("doc_id", "node").join(named, "node", "left").select(
-            "doc_id", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        named = self.nodes.select("node", "row", "copies").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        whole = named.groupBy("component").agg(F.min("row").alias("row"), F.sum("copies").alias("class_size"))
+        named = named.drop("row").join(whole, "component").where("class_size > 1").select("node", "row", "class_size", "copies")
+        return self.sketches.select("doc_id", "at", "node").join(named, "node", "left").select(
+            "doc_id", "at", F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("row.doc_id")).alias("class_id"),
             F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"), F.coalesce("copies", F.lit(1)).cast("bigint").alias("copies"),
+            (F.col("class_size").isNull() | ((F.col("doc_id") == F.col("row.doc_id")) & (F.col("at") == F.col("row.at")))).alias("stays"),
         )
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, class_size, copies (documents with the same multiset of shingles) for each row of docs."""
-    return Grouping(docs, threshold).classes()
+    return Grouping(docs, threshold).classes().select("doc_id", "class_id", "class_size", "copies")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without those of classes named by another doc_id; rows that repeat an id and text once.
+    """One row of each class of docs: of the doc_id that names it, and of that id's texts in the class one.
 
-    Rows whose id is null stay.
+    Rows are told apart by id and text, so an id may stand on texts of several classes.  Rows whose id is null stay.
     """
-    classes = table(near_duplicates(docs, threshold).where("class_size > 1 and doc_id is not null"), "bagminhash-classes")
-    gone = classes.where("class_id != doc_id").select("doc_id").distinct()
-    again = classes.where("class_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(few(gone, gone.count()), "doc_id", "left_anti")
+    classes = Grouping(docs, threshold).classes().where("class_size > 1 and doc_id is not null")
+    classes = table(classes.select(F.col("doc_id").alias("own_id"), "at", "stays"), "bagminhash-classes")
+    gone = classes.where("not stays").select("own_id", "at").distinct()
+    again = classes.where("stays").groupBy("own_id", "at").count().where("count > 1").select("own_id", "at")
+    same = lambda rows: (docs["doc_id"] == rows["own_id"]) & (text_hash(docs) == rows["at"])
+    kept = docs.join(few(gone, gone.count()), same(gone), "left_anti")
     repeats = again.count()
     if repeats:
-        kept = kept.join(few(again, repeats), "doc_id", "left_anti").unionByName(kept.join(few(again, repeats), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        again = few(again, repeats)
+        kept = kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -105,6 +105,21 @@ def test_deduplicate_keeps_one_of_each_class(spark):
     assert got == want
 
 
+def test_deduplicate_with_several_texts_under_one_id(spark):
+    r = np.random.default_rng(8)
+    word = lambda n: [f"u{i}" for i in r.integers(0, 10**6, n)]
+    a, b, c, d = (word(100) for _ in range(4))
+    near = lambda w: " ".join([*w[:-1], "x"])
+    a, b, c, d, alone = (a, near(a)), (b, near(b)), (c, near(c)), (d, near(d)), " ".join(word(60))
+    rows = [(1, " ".join(a[0])), (5, a[1]), (5, alone)]  # 5 loses one text and keeps another
+    rows += [(2, " ".join(b[0])), (2, b[1]), (2, b[1]), (3, b[1])]  # near copies under one id
+    rows += [(6, " ".join(c[0])), (7, c[1]), (6, " ".join(d[0])), (8, d[1])]  # 6 names two classes
+    df, _ = run(spark, rows)
+    got = sorted((x.doc_id, x.text) for x in B.deduplicate(df).collect())
+    assert [x for x in got if x[0] != 2] == sorted([rows[0], rows[2], rows[7], rows[9]])
+    assert len(got) == 5 and [t in (" ".join(b[0]), b[1]) for i, t in got if i == 2] == [True]
+
+
 def test_empty(spark):
     df, got = run(spark, [])
     assert got.count() == 0
