@@ -7,6 +7,7 @@ NEGATIVES paragraphs of the corpus (picked by hash; those that resemble a notice
 Half of each serves calibration: the threshold is the probability that 99.5 % of the other half's negatives stay below (at
 least 0.5); a paragraph whose best family reaches less is "unknown" if "none" is not the most likely class either way.
 A prediction is confirmed if the paragraph holds at least CONFIRM of the word pairs of one of the family's notices.
+Notices that run over line breaks (hard-wrapped text) are judged likewise in windows of words, see wrapped().
 
 Scoring is one pass without a shuffle, built-in functions only.  The weights follow from the templates and the bounded
 sample, so their size is bounded.  The weights give a set of words without
@@ -145,6 +146,40 @@ def covers(gram: Column, notices: Column) -> Column:
     return F.exists(notices, lambda t: F.size(F.array_intersect(t, gram)) >= F.size(t) * CONFIRM)
 
 
+def wrapped(text: Column, model: "Model", judged: Column) -> Column:
+    """Families, besides those judged, of notices that run over line breaks.
+
+    A window starts at a word pair of the notice and has as many words as the notice, or as many as a notice may be spread
+    over; it counts if it is confirmed as a paragraph is, and no single line in it holds enough of the notice.
+    """
+    one = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  # value is evaluated once
+    every = strings(sorted({p for ts in model.notices.values() for t in ts for p in t}))
+    kinds = F.array(*(F.struct(F.lit(i + 1).alias("k"), F.lit(c).alias("family"), strings(t).alias("t")) for i, c in enumerate(model.classes) for t in model.notices.get(c, [])))
+    enough = lambda x, t: F.size(F.array_intersect(t, x)) >= F.size(t) * CONFIRM
+
+    def inside(ws: Column) -> Column:  # ws: (line, word)
+        n = F.greatest(F.size(ws) - 1, F.lit(0))
+        ps = F.zip_with(F.slice(ws, F.lit(1), n), F.slice(ws, F.lit(2), n), lambda a, b: F.struct(F.concat(a["w"], F.lit(" "), b["w"]).alias("p"), a["l"].alias("a"), b["l"].alias("b")))
+        return one(ps, lambda ps: one(F.array_intersect(F.transform(ps, lambda x: x["p"]), every), lambda seen: F.flatten(F.transform(
+            F.filter(kinds, lambda c: enough(seen, c["t"]) & ~F.array_contains(judged, c["family"])), lambda c: starts(ws, ps, c)))))
+
+    def starts(ws: Column, ps: Column, c: Column) -> Column:
+        at = F.filter(F.transform(ps, lambda x, i: F.when(F.array_contains(c["t"], x["p"]), i + 1)), lambda i: i.isNotNull())
+        sizes = F.array(F.size(c["t"]), F.ceil(F.size(c["t"]) / CONFIRM).cast("int"))
+        found = lambda i, n: one(F.slice(ps, i, n), lambda q: F.when(across(q, c), sure(F.transform(F.slice(ws, i, n + 1), lambda x: x["w"]), c)))
+        return F.transform(F.filter(F.flatten(F.transform(at, lambda i: F.transform(sizes, lambda n: F.coalesce(found(i, n), F.lit(False))))), lambda x: x), lambda x: c["family"])
+
+    def across(q: Column, c: Column) -> Column:
+        line = lambda l: F.transform(F.filter(q, lambda x: (x["a"] == l) & (x["b"] == l)), lambda x: x["p"])  # noqa: E731, E741
+        return enough(F.transform(q, lambda x: x["p"]), c["t"]) & ~F.exists(F.array_distinct(F.transform(q, lambda x: x["a"])), lambda l: enough(line(l), c["t"]))  # noqa: E741
+
+    def sure(w: Column, c: Column) -> Column:
+        return one(model.scored(F.array_distinct(F.concat(w, pairs(w)))), lambda s: (s["k"] == c["k"]) & (s["p"] >= model.threshold))
+
+    lines = F.flatten(F.transform(paragraphs(text), lambda p, i: F.transform(words(p), lambda w: F.struct(i.alias("l"), w.alias("w")))))
+    return F.array_distinct(one(lines, inside))
+
+
 class Model:
     """Weights of the n-grams that count, one number per class; the threshold for families."""
 
@@ -225,12 +260,13 @@ def train(docs: DataFrame, negatives: int = NEGATIVES) -> Model:
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_paragraphs, found: array of (paragraph, family, probability, confirmed) for each row of docs."""
+    """doc_id, n_paragraphs, found: array of (paragraph, family, probability, confirmed) for each row of docs, joined: families
+    of notices that run over line breaks and are confirmed on no line."""
     anchors = model.anchors()
     near = lambda text: F.lit(False) if not anchors else _any([F.contains(text, F.lit(a)) for a in anchors])
     none = model.classes.index(NONE) + 1
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = rows.select("doc_id", F.size(paragraphs(F.col("text"))).cast("bigint").alias("n_paragraphs"), F.when(near(F.lower("text")), paragraphs(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("ps"))
+    out = rows.select("doc_id", F.when(near(F.lower("text")), F.col("text")).otherwise(F.lit("")).alias("text"), F.size(paragraphs(F.col("text"))).cast("bigint").alias("n_paragraphs"), F.when(near(F.lower("text")), paragraphs(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("ps"))
     out = out.withColumn("ps", F.filter(F.transform("ps", lambda p, i: F.struct((i + 1).alias("i"), p.alias("p"))), lambda x: near(F.lower(x["p"]))))
     out = out.withColumn("ps", F.transform("ps", lambda x: F.struct(x["i"].alias("i"), grams(x["p"]).alias("g"))))
     out = out.withColumn("ps", F.filter(F.transform("ps", lambda x: F.struct(x["i"].alias("i"), x["g"].alias("g"), model.scored(x["g"]).alias("s"))), lambda x: x["s"]["k"] != none))
@@ -242,7 +278,9 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         x["s"]["p"].alias("probability"),
         (sure(x) & covers(x["g"], F.element_at(notices, x["s"]["k"].cast("int")))).alias("confirmed"),
     ))
-    return out.select("doc_id", "n_paragraphs", found.alias("found"))
+    out = out.select("doc_id", "n_paragraphs", "text", found.alias("found"))
+    judged = F.transform(F.filter("found", lambda x: x["confirmed"]), lambda x: x["family"])
+    return out.select("doc_id", "n_paragraphs", "found", wrapped(F.col("text"), model, judged).alias("joined"))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -257,7 +295,7 @@ def licences(docs: DataFrame) -> DataFrame:
     confirmed = F.filter("found", lambda x: x["confirmed"])
     return found.select(
         "doc_id", "n_paragraphs", F.size("found").cast("bigint").alias("n_found"),
-        F.array_join(F.sort_array(F.array_distinct(F.transform(confirmed, lambda x: x["family"]))), ",").alias("licences"),
+        F.array_join(F.sort_array(F.array_union(F.transform(confirmed, lambda x: x["family"]), "joined")), ",").alias("licences"),
         (F.size("found") - F.size(confirmed)).cast("bigint").alias("n_unknown"),
         F.round(F.array_max(F.transform("found", lambda x: x["probability"])), 6).alias("best"),
     )

@@ -62,6 +62,20 @@ def test_prefilter_and_scores_equal_a_plain_version(spark, model):
             assert f.family == (name if p >= model.threshold else L.UNKNOWN) and abs(f.probability - p) < 1e-9
 
 
+def test_hard_wrapped_notices(spark, model):
+    import textwrap
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy and modify it."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    fold = lambda t, n, mark="": "\n".join(mark + x for x in textwrap.wrap(t, n))
+    texts = {(f, n): "Some words of the day.\n" + fold(t, n, " * ") + "\nand the rest" for f, t in (("mit", mit), ("bsd", bsd), ("gpl", gpl)) for n in (30, 50, 70)}
+    rows = [(i, t) for i, t in enumerate(texts.values())] + [(20, fold("He lost his driving license and had to walk home. " * 9, 40)), (21, None)]
+    got = {r.doc_id: set(r.joined) | {f.family for f in r.found if f.confirmed} for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i] for i in range(len(texts))] == [{f} for f, _ in texts]
+    assert got[20] == got[21] == set()
+
+
 def test_empty(spark):
     e = spark.createDataFrame([], "doc_id long, text string")
     assert L.licences(e).count() == 0
