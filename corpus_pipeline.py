@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from corpusloom.llm import bagminhash, decontaminate, langid, pfair, shards
 from corpusloom.llm.common import shared_dir, table
 
+#: Languages to keep; None: every learned one.
+LANGUAGES = None
 #: Trained profiles, hashed signatures and a permutation have no SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts that are in no language (no letters) go."""
+    """Texts whose language by the trained prototypes is none, or not one of LANGUAGES, go."""
     langs, prototypes = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.accept(docs, langs, prototypes)
+    return langid.accept(docs, langs, prototypes, LANGUAGES)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, drop_table, grams, groups, mix, table, within
+from .common import WordHasher, drop_table, grams, mix, pieces, table, within
 
 SHINGLE, THRESHOLD = 5, 0.8
 M, BANDS, ROWS = 128, 25, 5
 #: Ids up to this number (8 bytes each, 16 with the hash of a text) are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Texts are sketched in groups of about so many bytes.
+SKETCH_BYTES = 700_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 2.0**-53
 
@@ -159,18 +161,15 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def each(batches):
         own = Sketcher()
-        for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            at = batch.column("at")
-            for part in groups(texts):
-                some = texts[part]
-                doc, s, w = own.multisets(some)
-                d1, d2 = own.digests(doc, s, w, len(some))
-                keys = own.bands(own.signatures(doc, s, w, len(some)))
-                n = np.bincount(doc, w, minlength=len(some)).astype(np.int64)
-                none = n == 0
-                node = pa.StructArray.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["a", "b"], mask=pa.array(none))
-                yield pa.RecordBatch.from_arrays([ids[part], at[part], node, pa.array(n), lists(keys[~none].view(np.int64).reshape(-1), np.where(none, 0, BANDS))], ["doc_id", "at", "node", "n", "bands"])
+        for batch in pieces(batches, SKETCH_BYTES):
+            texts = batch.column("text").to_pylist()
+            doc, s, w = own.multisets(texts)
+            d1, d2 = own.digests(doc, s, w, len(texts))
+            keys = own.bands(own.signatures(doc, s, w, len(texts)))
+            n = np.bincount(doc, w, minlength=len(texts)).astype(np.int64)
+            none = n == 0
+            node = pa.StructArray.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["a", "b"], mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("at"), node, pa.array(n), lists(keys[~none].view(np.int64).reshape(-1), np.where(none, 0, BANDS))], ["doc_id", "at", "node", "n", "bands"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash(docs).alias("at")).mapInArrow(each, f"doc_id {kind}, at bigint, node struct<a:bigint,b:bigint>, n bigint, bands array<bigint>")
 
@@ -180,17 +179,15 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
     def each(batches):
         own = Sketcher()
-        for batch in batches:
+        for batch in pieces(batches, SKETCH_BYTES):
             texts = batch.column("text").to_pylist()
-            for part in groups(texts):
-                some = texts[part]
-                doc, s, w = own.multisets(some)
-                d1, d2 = own.digests(doc, s, w, len(some))
-                at = np.concatenate([[0], np.cumsum(w)])
-                nth = np.arange(at[-1]) - np.repeat(at[:-1], w)
-                items = np.repeat(s, w) + mix(nth.astype(np.uint64)) * (nth > 0).astype(np.uint64)
-                node = pa.StructArray.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["a", "b"])
-                yield pa.RecordBatch.from_arrays([node, lists(items.view(np.int64), np.bincount(doc, w, minlength=len(some)).astype(np.int64))], ["node", "items"])
+            doc, s, w = own.multisets(texts)
+            d1, d2 = own.digests(doc, s, w, len(texts))
+            at = np.concatenate([[0], np.cumsum(w)])
+            nth = np.arange(at[-1]) - np.repeat(at[:-1], w)
+            items = np.repeat(s, w) + mix(nth.astype(np.uint64)) * (nth > 0).astype(np.uint64)
+            node = pa.StructArray.from_arrays([pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([node, lists(items.view(np.int64), np.bincount(doc, w, minlength=len(texts)).astype(np.int64))], ["node", "items"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(each, "node struct<a:bigint,b:bigint>, items array<bigint>")
 

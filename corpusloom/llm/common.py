@@ -9,12 +9,15 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Texts are hashed in groups of about so many bytes, whatever the Arrow batch holds.
 GROUP_BYTES = 2_000_000
+#: Tables in the shared folder have row groups of so many bytes: a writer holds one of them in memory.
+ROW_GROUP = 32 << 20
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -113,6 +116,17 @@ class WordHasher:
         return h, np.searchsorted(starts, at).astype(np.int64)
 
 
+def pieces(batches, most: int = GROUP_BYTES):
+    """Cuts Arrow batches into slices of about ``most`` bytes of text (one row at least), whatever a batch holds."""
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def groups(texts: list[str | None], most: int = GROUP_BYTES):
     """Cuts a list into slices of about ``most`` characters."""
     at = size = 0
@@ -174,7 +188,7 @@ def shared_dir(spark: SparkSession) -> str:
 def write_table(df: DataFrame, name: str) -> str:
     """Writes ``df`` as Parquet into a new folder of the shared folder; returns its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return path
 
 

@@ -6,10 +6,16 @@ its trigrams; a language is the sum of its training texts, each of length one.
 has the largest cosine with it; the score is that cosine, cut to 0..1.
 
 Trigrams run over the letters of lower-cased words with one blank on each side (so any non-letter may be a place to cut
-a very long text: the sum stays the same).  Memory is bounded by SEGMENT letters and CHUNK distinct trigrams at a time.
+a very long text: the sum stays the same).  Memory is bounded by SEGMENT letters, CHUNK distinct trigrams and CELLS counts
+at a time.
 
-Training reads at most about ``per_lang`` texts of each language, picked by a hash of the text; counts come first, and a
-language with fewer texts gives them all.  Prediction reads the text only.
+Training reads about ``per_lang`` different texts of each language, picked by a hash of the text; how many there are is
+estimated first (copies of a text count once, and teach once), and a language with fewer texts gives them all.  Prediction
+reads the text only.
+
+accept() keeps the rows whose predicted language is allowed (by default every learned one).  A text whose cosine with its
+best prototype is within chance (below NOISE / sqrt(dim): unrelated vectors have a cosine of deviation 1 / sqrt(dim)) is in
+no learned language and goes as well.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0.  With no training rows every text is ``und``.
 Ties go to the language that sorts first.  Null lang is never learned.  Repeated rows each give a row.
@@ -20,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, pieces
 
 DIM = 1024
 PER_LANG = 3000
-SEGMENT, CHUNK = 1_000_000, 12_000
+SEGMENT, CHUNK, CELLS = 300_000, 4_000, 2_000_000
 UNKNOWN = "und"
+NOISE = 1.0
 
 
 class Encoder:
@@ -98,9 +105,10 @@ class Encoder:
             vectors = np.stack([self.letter(int(x)) for x in letters])
             first, second = np.roll(vectors, 2, axis=1), np.roll(vectors, 1, axis=1)
             sums = np.zeros((len(group), self.dim), np.float32)
-            for a in range(0, len(grams), CHUNK):
-                g = grams[a : a + CHUNK]
-                own = (key >= a) & (key < a + CHUNK) if len(grams) > CHUNK else slice(None)
+            step = max(1, min(CHUNK, CELLS // len(group)))
+            for a in range(0, len(grams), step):
+                g = grams[a : a + step]
+                own = (key >= a) & (key < a + step) if len(grams) > step else slice(None)
                 counts = np.bincount(row[own] * len(g) + key[own] - a, minlength=len(group) * len(g)).reshape(len(group), len(g))
                 sums += counts.astype(np.float32) @ (first[g // (n * n)] * second[g // n % n] * vectors[g % n]).astype(np.float32)
             np.add.at(out, [i for i, _ in group], sums)
@@ -122,15 +130,15 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes (rows of length one), from docs(text, lang)."""
     rows = docs.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    total = dict(rows.groupBy("lang").count().collect())  # a row for each language
+    total = dict(rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text"), 0.02)).collect())  # a row for each language
     if not total:
         return [], np.zeros((0, dim), np.float32)
-    share = F.create_map(*(x for k, n in total.items() for x in (F.lit(k), F.lit(min(1 << 20, -(-(per_lang << 20) // n))))))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")]).repartition(8)
+    share = F.create_map(*(x for k, n in total.items() for x in (F.lit(k), F.lit(min(1 << 20, -(-(per_lang << 20) // max(1, int(n * 0.9))))))))
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col("lang")]).dropDuplicates(["lang", "text"])
 
     def sums(batches):
         encoder, own = Encoder(dim), {}
-        for batch in batches:
+        for batch in pieces(batches):
             lang, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
             v = encoder.encode(texts).astype(np.float64)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -139,7 +147,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM) -> tuple[li
         yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["lang", "v"])
 
     found: dict[str, np.ndarray] = {}
-    for lang, v in sample.mapInArrow(sums, "lang string, v binary").collect():  # 8 rows a language at most
+    for lang, v in sample.mapInArrow(sums, "lang string, v binary").collect():  # a row for each language and task of the sample
         found[lang] = found.get(lang, 0) + np.frombuffer(v, np.float64)
     langs = sorted(k for k, v in found.items() if np.any(v))
     if not langs:
@@ -148,6 +156,19 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM) -> tuple[li
     return langs, (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
 
 
+def closest(encoder: Encoder, texts: list[str | None], prototypes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest prototype of each text (-1 without letters or prototypes) and the cosine, cut to 0..1."""
+    best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    for a in range(0, len(texts) if len(prototypes) else 0, 1000):
+        v = encoder.encode(texts[a : a + 1000])
+        norm = np.linalg.norm(v, axis=1)
+        some = np.flatnonzero(norm > 0)
+        cos = v[some] @ prototypes.T / norm[some, None]
+        best[a + some] = cos.argmax(1)
+        score[a + some] = np.clip(cos.max(1, initial=-1), 0, 1)
+    return best, score
+
+
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default doc_id) and lang_pred, score; reads text."""
     keep = ["doc_id"] if keep is None else keep
@@ -159,16 +180,9 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, keep: lis
     def each(batches):
         langs, prototypes = shared.value
         encoder = Encoder(prototypes.shape[1])
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for a in range(0, len(texts) if langs else 0, 2000):
-                v = encoder.encode(texts[a : a + 2000])
-                norm = np.linalg.norm(v, axis=1)
-                cos = v @ prototypes.T / np.maximum(norm, 1e-9)[:, None]
-                best = cos.argmax(1)
-                for i in np.flatnonzero(norm > 0).tolist():
-                    pred[a + i], score[a + i] = langs[best[i]], min(1.0, max(0.0, float(cos[i, best[i]])))
+        for batch in pieces(batches):
+            best, score = closest(encoder, batch.column("text").to_pylist(), prototypes)
+            pred = [UNKNOWN if i < 0 else langs[i] for i in best.tolist()]
             columns = [batch.column(c) for c in batch.schema.names if c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*(c for c in batch.schema.names if c in keep), "lang_pred", "score"])
 
@@ -181,21 +195,19 @@ def identify(docs: DataFrame, per_lang: int = PER_LANG, dim: int = DIM) -> DataF
     return predict(docs, langs, prototypes).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def accept(docs: DataFrame, langs: list[str], prototypes: np.ndarray, allowed: list[str] | None = None) -> DataFrame:
-    """The rows of docs, all columns, that have a letter and whose language is one of ``allowed`` (default: any)."""
+def accept(docs: DataFrame, langs: list[str], prototypes: np.ndarray, allowed: list[str] | None = None, noise: float = NOISE) -> DataFrame:
+    """The rows of docs, all columns, whose language is one of ``allowed`` (default: any learned one)."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, prototypes))
 
     def each(batches):
         langs, prototypes = shared.value
         encoder = Encoder(prototypes.shape[1])
-        for batch in batches:
-            texts, keep = batch.column("text").to_pylist(), []
-            for a in range(0, len(texts), 2000):
-                v = encoder.encode(texts[a : a + 2000])
-                ok = np.abs(v).sum(1) > 0
-                if allowed is not None and langs:
-                    ok &= np.isin(np.array(langs, object)[(v @ prototypes.T).argmax(1)], allowed)
-                keep += ok.tolist()
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        open_ = np.array([allowed is None or x in allowed for x in [*langs, UNKNOWN]])  # the last place serves those without a language
+        if allowed is None:
+            open_[-1] = False
+        for batch in pieces(batches):
+            best, score = closest(encoder, batch.column("text").to_pylist(), prototypes)
+            keep = open_[best] & ((best < 0) | (score >= noise / encoder.dim**0.5))
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(each, docs.schema)
