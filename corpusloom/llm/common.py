@@ -16,6 +16,8 @@ WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Texts are hashed in groups of about so many bytes, whatever the Arrow batch holds.
 GROUP_BYTES = 2_000_000
+#: Tables are computed with Arrow batches of at most so many rows.
+BATCH_ROWS = 2000
 #: Tables in the shared folder have row groups of so many bytes: a writer holds one of them in memory.
 ROW_GROUP = 32 << 20
 
@@ -188,7 +190,13 @@ def shared_dir(spark: SparkSession) -> str:
 def write_table(df: DataFrame, name: str) -> str:
     """Writes ``df`` as Parquet into a new folder of the shared folder; returns its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    had = conf.get(key)
+    conf.set(key, min(int(had) if int(had) > 0 else BATCH_ROWS, BATCH_ROWS))
+    try:
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    finally:
+        conf.set(key, had)
     return path
 
 

@@ -6,11 +6,13 @@ are hashed over their words (case, punctuation and white space do not count) to
 corpus.  Of equal spans the one with the least (doc_id, row, place) is the first; sentences that any other occurrence
 covers are removed, whole, with the white space behind them.  So a passage that repeats across documents stays once.
 
-Scale: two shuffles of spans (36 bytes each), none of texts unless texts are asked for.  Counting combines spans before
-the shuffle and the join back has a row for each repeated span on one side, so that Spark can split the other side
-where a passage is shared by very many documents.  A document's spans are gathered per document.
+Scale: spans (44 bytes each) are computed once, into a table; they are shuffled twice, texts once.  Counting combines spans
+before the shuffle.  Spans that occur more often than HOT_LEAST and a HOT_KEYS-th of all are at most HOT_KEYS, so they are
+joined by a broadcast; all others are joined by a shuffle in which no key is large.  A document's spans are gathered per
+document.
 
-``docs`` must be a plain scan of files (rows are told apart by their place in the scan, which both reads repeat).
+Rows are told apart by file and place in the file, whatever the splits; ``docs`` that is no plain scan of Parquet files is
+written to a table first.
 
 Defined cases: null texts stay null and have no sentence.  Texts with too few sentences or words have no span and stay.
 Repeated rows: the first stays, the others lose what they repeat.  Null ids come before all others
@@ -21,12 +23,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, groups, mix, powers
+from .common import WordHasher, mix, pieces, powers, table
 
 RUN, MIN_WORDS = 3, 12
+#: At most HOT_KEYS spans (40 bytes each) are broadcast: those with more than 1 / HOT_KEYS of all, and more than HOT_LEAST.
+HOT_KEYS, HOT_LEAST = 100_000, 1000
 CUT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|\n\s*")
 _A, _B = 0x5851F42D4C957F2D, 0xDA942042E4DD58B5
 
@@ -75,36 +80,41 @@ def spans_of(texts: list[str | None], hasher: WordHasher, run: int, least: int)
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    """doc_id, text, row: struct of a hash of the file's name and the place in the file."""
+    own = ["doc_id", F.col("text").cast("string").alias("text")]
+    try:
+        return docs.select(*own, F.struct(F.xxhash64("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias("row"))
+    except AnalysisException:  # no plain scan of files: its rows have no place yet
+        return rows_of(table(docs.select(*own), "spans-rows"))
 
 
-def spans(docs: DataFrame, run: int = RUN, least: int = MIN_WORDS) -> DataFrame:
-    """h1, h2, at (struct doc_id, row, a: the first sentence), b (sentence after the last one)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def spans(rows: DataFrame, run: int = RUN, least: int = MIN_WORDS) -> DataFrame:
+    """h1, h2, at (struct doc_id, row, a: the first sentence), b (sentence after the last one); rows as rows_of() gives them."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def each(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
         hasher = WordHasher()
-        for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for part in groups(texts):
-                doc, a, b, h1, h2 = spans_of(texts[part], hasher, run, least)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), ids[part].take(pa.array(doc)),
-                    pa.array(doc + part.start + row), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)),
-                ], ["h1", "h2", "doc_id", "row", "a", "b"])
-            row += batch.num_rows
-
-    return rows_of(docs).mapInArrow(each, f"h1 bigint, h2 bigint, doc_id {kind}, row bigint, a int, b int").select("h1", "h2", F.struct("doc_id", "row", "a").alias("at"), "b")
-
-
-def repeated(docs: DataFrame, run: int = RUN, least: int = MIN_WORDS) -> DataFrame:
-    """row, doc_id, cover (sentence ranges to remove), firsts (doc_ids that keep them): documents that lose sentences."""
-    found = spans(docs, run, least)
-    first = found.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    other = found.join(first, ["h1", "h2"]).where("at != first")
+        for batch in pieces(batches):
+            doc, a, b, h1, h2 = spans_of(batch.column("text").to_pylist(), hasher, run, least)
+            doc = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column("doc_id").take(doc),
+                batch.column("f").take(doc), batch.column("i").take(doc), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)),
+            ], ["h1", "h2", "doc_id", "f", "i", "a", "b"])
+
+    found = rows.select("doc_id", "text", "row.f", "row.i").mapInArrow(each, f"h1 bigint, h2 bigint, doc_id {kind}, f bigint, i bigint, a int, b int")
+    return found.select("h1", "h2", F.struct("doc_id", F.struct("f", "i").alias("row"), "a").alias("at"), "b")
+
+
+def repeated(rows: DataFrame, run: int = RUN, least: int = MIN_WORDS) -> DataFrame:
+    """row, cover (sentence ranges to remove), firsts (doc_ids that keep them): documents that lose sentences."""
+    found = table(spans(rows, run, least), "spans")
+    first = table(found.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "spans-first")
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") > max(HOT_LEAST, total // HOT_KEYS)  # fewer than HOT_KEYS keys
+    hot = F.broadcast(first.where(often).drop("n"))
+    cold = found.join(hot.select("h1", "h2"), ["h1", "h2"], "left_anti").join(first.where(~often).drop("n"), ["h1", "h2"])
+    other = found.join(hot, ["h1", "h2"]).unionByName(cold).where("at != first")
     return other.groupBy(F.col("at.row").alias("row")).agg(
         F.sort_array(F.collect_list(F.struct(F.col("at.a").alias("a"), "b"))).alias("cover"), F.sort_array(F.collect_set("first.doc_id")).alias("firsts")
     )
@@ -113,20 +123,11 @@ def repeated(docs: DataFrame, run: int = RUN, least: int = MIN_WORDS) -> DataFra
 def deduplicate(docs: DataFrame, run: int = RUN, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, text (what is left), n_sentences, n_removed, firsts (doc_ids that keep the removed passages)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def numbered(batches):
-        from pyspark import TaskContext
-
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(np.arange(row, row + batch.num_rows))], ["doc_id", "text", "row"])
-            row += batch.num_rows
-
-    rows = rows_of(docs).mapInArrow(numbered, f"doc_id {kind}, text string, row bigint")
-    joined = rows.join(repeated(docs, run, least), "row", "left").select("doc_id", "text", "cover", "firsts")
+    rows = rows_of(docs)
+    joined = rows.join(repeated(rows, run, least), "row", "left").select("doc_id", "text", "cover", "firsts")
 
     def cut(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts, n, gone = [], [], []
             for t, cover in zip(batch.column("text").to_pylist(), batch.column("cover").to_pylist(), strict=True):
                 at = sentences(t) if t else [0]

@@ -59,3 +59,11 @@ def test_like_brute_force(spark):
 
 def test_empty(spark):
     assert run(spark, [])[1].count() == 0
+
+
+def test_hot_spans_and_input_that_is_no_scan(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_LEAST", 5)  # most shared passages are broadcast, the others are joined by a shuffle
+    rows = [(i, t) for i, t in corpus() if i is not None and i < 203]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    have = sorted(((x.doc_id, x.text, x.n_sentences, x.n_removed, sorted(x.firsts)) for x in S.deduplicate(df).collect()), key=repr)
+    assert have == brute(rows)
