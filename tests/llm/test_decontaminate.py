@@ -67,3 +67,17 @@ def test_empty_tables_and_clean(spark):
     kept = D.clean(a, b)
     assert kept.columns == a.columns
     assert sorted((r[0] for r in kept.collect()), key=repr) == sorted((r[0] for r in brute(docs, items) if not r[5]), key=repr)
+
+
+def test_repetitions_cost_no_more_than_other_texts():
+    import time
+
+    words = "la " * 20_000
+    docs = [(1, words), (2, "a b " * 10_000), (3, "x " + words)]
+    items = [(str(i), words) for i in range(3)] + [("4", "b a " * 10_000), ("5", "c " + "la " * 9), ("6", "la la")]
+    began = time.time()
+    index = D.Index(items, 10, 5)
+    got = [x for d, t in docs for x in index.scan([t], D.WordHasher())]
+    assert time.time() - began < 5
+    want = {d: (n, hit, who) for d, n, hit, who, *_ in brute(docs, items)}
+    assert [(n, sum(b - a for a, b in spans), len(who)) for n, spans, who in got] == [want[d] for d, _ in docs]
