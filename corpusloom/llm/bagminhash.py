@@ -198,12 +198,12 @@ def few(ids: DataFrame, count: int) -> DataFrame:
 
 
 class Grouping:
-    """The steps between sketches and classes; every step is a table in the shared folder."""
+    """The steps between sketches and classes; every step is a table in the shared folder, until close()."""
 
     def __init__(self, docs: DataFrame, threshold: float = THRESHOLD):
-        self.docs, self.threshold = docs, threshold
-        self.sketches = table(sketches(docs), "bagminhash-sketches")
-        self.nodes = table(
+        self.docs, self.threshold, self.made = docs, threshold, []
+        self.sketches = self.table(sketches(docs), "bagminhash-sketches")
+        self.nodes = self.table(
             self.sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.min(F.expr("if(doc_id is null, null, struct(doc_id, at))")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
             "bagminhash-nodes",
         )
@@ -211,9 +211,18 @@ class Grouping:
         keys = self.nodes.select("node", "n", F.explode("bands").alias("key"))
         shared = table(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "key"), "bagminhash-shared")
         company = shared.groupBy("node").agg(F.sum("members").alias("company"))
-        self.buckets = table(shared.join(company, "node").select("key", "node", "n", "company"), "bagminhash-buckets")
+        self.buckets = self.table(shared.join(company, "node").select("key", "node", "n", "company"), "bagminhash-buckets")
         drop_table(shared)
 
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(table(df, name))
+        return self.made[-1]
+
+    def close(self) -> None:
+        """Removes the tables; nothing that read them may be used any more."""
+        while self.made:
+            drop_table(self.made.pop())
+
     @staticmethod
     def around(rows: DataFrame, centres: DataFrame) -> DataFrame:
         """Pairs of each node with the centre of each of its buckets."""
@@ -245,8 +254,7 @@ class Grouping:
         fits = F.least("nx", "ny") >= self.threshold * F.greatest("nx", "ny") - 1e-9
         return pairs.where(fits & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    @staticmethod
-    def components(links: DataFrame) -> DataFrame:
+    def components(self, links: DataFrame) -> DataFrame:
         """node, component: the least node that links reach (least neighbours, then jumps to the component's component)."""
         edges = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
         label = table(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("component")).select(F.col("x").alias("node"), "component"), "bagminhash-components")
@@ -259,13 +267,14 @@ class Grouping:
             drop_table(label)
             label = new
             if not moved:
+                self.made.append(label)
                 return label.select("node", "component")
 
     def mixed(self, links: DataFrame) -> DataFrame:
         """Rows (key, node, n, company, component) of the buckets that hold nodes of several components."""
         rows = self.buckets.join(self.components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("members")).where("c1 != c2 and members > 2").select("key")
-        return table(rows.join(mixed, "key", "left_semi"), "bagminhash-mixed")
+        return self.table(rows.join(mixed, "key", "left_semi"), "bagminhash-mixed")
 
     @staticmethod
     def besides(rows: DataFrame) -> DataFrame:
@@ -282,14 +291,14 @@ class Grouping:
         # the least overlap with a partner that is as small as the buckets and the threshold allow
         partner = F.greatest(F.ceil(F.col("n") * t - 1e-9), F.col("least"))
         overlap = F.ceil((F.col("n") + partner) * (t / (1 + t)) - 1e-9)
-        nodes = table(nodes.withColumn("prefix", (F.col("n") - overlap + 1).cast("int")), "bagminhash-prefixes")
+        nodes = self.table(nodes.withColumn("prefix", (F.col("n") - overlap + 1).cast("int")), "bagminhash-prefixes")
         items = self.sets(nodes.select("node")).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("items").alias("item"))
         items = table(items, "bagminhash-items")
         seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
         ranked = items.join(seen, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("l"))  # a document's items
         common = F.size(F.filter("l", lambda i: i["df"] > 1)).alias("common")  # no overlap is larger
         prefix = ranked.join(nodes, "node").select("node", "n", "component", common, F.explode(F.slice("l", F.lit(1), F.greatest("prefix", F.lit(1)))).alias("i"))
-        prefix = table(prefix.where("i.df > 1").select("node", "n", "component", "common", F.col("i.item").alias("item")), "bagminhash-prefix")
+        prefix = self.table(prefix.where("i.df > 1").select("node", "n", "component", "common", F.col("i.item").alias("item")), "bagminhash-prefix")
         drop_table(items)
         few_rows = self.besides(rows).select("node").distinct()
         a = prefix.join(few_rows, "node", "left_semi").alias("a")
@@ -298,18 +307,18 @@ class Grouping:
 
     def linked(self) -> DataFrame:
         """node, component for every node that has a link."""
-        tested = table(self.compared(self.around(self.buckets, self.buckets)), "bagminhash-tested")
-        links = table(self.verified(tested), "bagminhash-links")
+        tested = self.table(self.compared(self.around(self.buckets, self.buckets)), "bagminhash-tested")
+        links = self.table(self.verified(tested), "bagminhash-links")
         for step in ("beside", "rare"):
             rows = self.mixed(links)
             if not rows.limit(1).count():
                 break
             own = self.besides(rows) if step == "beside" else None
             pairs = self.around(own, own) if step == "beside" else self.rare_pairs(rows)
-            pairs = table(self.compared(pairs).join(tested, ["x", "y"], "left_anti"), "bagminhash-tested")
+            pairs = self.table(self.compared(pairs).join(tested, ["x", "y"], "left_anti"), "bagminhash-tested")
             if pairs.limit(1).count():
                 tested = tested.unionByName(pairs)
-                links = links.unionByName(table(self.verified(pairs), "bagminhash-links"))
+                links = links.unionByName(self.table(self.verified(pairs), "bagminhash-links"))
         return self.components(links)
 
     def classes(self) -> DataFrame:
@@ -328,7 +337,10 @@ class Grouping:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, class_size, copies (documents with the same multiset of shingles) for each row of docs."""
-    return Grouping(docs, threshold).classes().select("doc_id", "class_id", "class_size", "copies")
+    own = Grouping(docs, threshold)
+    out = table(own.classes().select("doc_id", "class_id", "class_size", "copies"), "bagminhash-classes")
+    own.close()
+    return out
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -336,8 +348,10 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows are told apart by id and text, so an id may stand on texts of several classes.  Rows whose id is null stay.
     """
-    classes = Grouping(docs, threshold).classes().where("class_size > 1 and doc_id is not null")
+    own = Grouping(docs, threshold)
+    classes = own.classes().where("class_size > 1 and doc_id is not null")
     classes = table(classes.select(F.col("doc_id").alias("own_id"), "at", "stays"), "bagminhash-classes")
+    own.close()
     gone = classes.where("not stays").select("own_id", "at").distinct()
     again = classes.where("stays").groupBy("own_id", "at").count().where("count > 1").select("own_id", "at")
     same = lambda rows: (docs["doc_id"] == rows["own_id"]) & (text_hash(docs) == rows["at"])
