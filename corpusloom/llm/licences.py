@@ -18,6 +18,7 @@ and white space do not count.  An empty table gives an empty result.
 """
 
 import json
+import math
 import random
 
 from pyspark.ml.classification import LogisticRegression
@@ -105,8 +106,13 @@ NEGATIVES, VARIANTS, CONFIRM = 3000, 24, 0.6
 NONE, UNKNOWN = "none", "unknown"
 
 
+def tokens(low: Column) -> Column:
+    """The words of a text in lower case."""
+    return F.regexp_extract_all(low, F.lit("[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
+    return tokens(F.lower(text))
 
 
 def pairs(w: Column) -> Column:
@@ -116,8 +122,11 @@ def pairs(w: Column) -> Column:
 
 def grams(text: Column) -> Column:
     """Distinct words and word pairs."""
-    w = words(text)
-    return F.array_distinct(F.concat(w, pairs(w)))
+    return grams_of(words(text))
+
+
+def grams_of(w: Column) -> Column:
+    return F.element_at(F.transform(F.array(w), lambda w: F.array_distinct(F.concat(w, pairs(w)))), 1)  # w is evaluated once
 
 
 def paragraphs(text: Column) -> Column:
@@ -146,8 +155,23 @@ def covers(gram: Column, notices: Column) -> Column:
     return F.exists(notices, lambda t: F.size(F.array_intersect(t, gram)) >= F.size(t) * CONFIRM)
 
 
-def wrapped(text: Column, model: "Model", judged: Column) -> Column:
-    """Families, besides those judged, of notices that run over line breaks.
+def may_wrap(rows: DataFrame, model: "Model", judged: Column) -> DataFrame:
+    """rows(text, in lower case) with may: a cheap test that every text passes in which wrapped() finds a family.
+
+    A notice is confirmed by CONFIRM of its word pairs, so one at least of any larger part of the rest must be there.
+    """
+    plain = lambda p: " " + "".join(c if c.isalnum() else " " for c in p) + " "
+    rows = rows.withColumn("flat", F.concat(F.lit(" "), F.regexp_replace("text", "[^a-z0-9]+", " "), F.lit(" ")))
+    usual = lambda p: (-len(p), p)
+    tests = []
+    for family, ts in model.notices.items():
+        some = sorted({p for t in ts for p in sorted(t, key=usual)[: len(t) - math.ceil(len(t) * CONFIRM) + 1]})
+        tests.append(~F.array_contains(judged, F.lit(family)) & _any([F.contains("flat", F.lit(plain(p))) for p in some]))
+    return rows.withColumn("may", _any(tests)).drop("flat")
+
+
+def wrapped(low: Column, model: "Model", judged: Column) -> Column:
+    """Families, besides those judged, of notices that run over line breaks; the text is in lower case.
 
     A window starts at a word pair of the notice and has as many words as the notice, or as many as a notice may be spread
     over; it counts if it is confirmed as a paragraph is, and no single line in it holds enough of the notice.
@@ -176,7 +200,7 @@ def wrapped(text: Column, model: "Model", judged: Column) -> Column:
     def sure(w: Column, c: Column) -> Column:
         return one(model.scored(F.array_distinct(F.concat(w, pairs(w)))), lambda s: (s["k"] == c["k"]) & (s["p"] >= model.threshold))
 
-    lines = F.flatten(F.transform(paragraphs(text), lambda p, i: F.transform(words(p), lambda w: F.struct(i.alias("l"), w.alias("w")))))
+    lines = F.flatten(F.transform(paragraphs(low), lambda p, i: F.transform(tokens(p), lambda w: F.struct(i.alias("l"), w.alias("w")))))
     return F.array_distinct(one(lines, inside))
 
 
@@ -265,10 +289,11 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     anchors = model.anchors()
     near = lambda text: F.lit(False) if not anchors else _any([F.contains(text, F.lit(a)) for a in anchors])
     none = model.classes.index(NONE) + 1
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = rows.select("doc_id", F.when(near(F.lower("text")), F.col("text")).otherwise(F.lit("")).alias("text"), F.size(paragraphs(F.col("text"))).cast("bigint").alias("n_paragraphs"), F.when(near(F.lower("text")), paragraphs(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("ps"))
-    out = out.withColumn("ps", F.filter(F.transform("ps", lambda p, i: F.struct((i + 1).alias("i"), p.alias("p"))), lambda x: near(F.lower(x["p"]))))
-    out = out.withColumn("ps", F.transform("ps", lambda x: F.struct(x["i"].alias("i"), grams(x["p"]).alias("g"))))
+    rows = docs.select("doc_id", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))  # once for all that follows
+    out = rows.select("doc_id", "text", paragraphs(F.col("text")).alias("ps"), near(F.col("text")).alias("near"))
+    out = out.select("doc_id", F.when(F.col("near"), F.col("text")).otherwise(F.lit("")).alias("text"), F.size("ps").cast("bigint").alias("n_paragraphs"), F.when(F.col("near"), F.col("ps")).otherwise(F.array().cast("array<string>")).alias("ps"))
+    out = out.withColumn("ps", F.filter(F.transform("ps", lambda p, i: F.struct((i + 1).alias("i"), p.alias("p"))), lambda x: near(x["p"])))
+    out = out.withColumn("ps", F.transform("ps", lambda x: F.struct(x["i"].alias("i"), grams_of(tokens(x["p"])).alias("g"))))
     out = out.withColumn("ps", F.filter(F.transform("ps", lambda x: F.struct(x["i"].alias("i"), x["g"].alias("g"), model.scored(x["g"]).alias("s"))), lambda x: x["s"]["k"] != none))
     names, notices = strings(model.classes), F.array(*(F.array(*map(strings, model.notices.get(c, []))) if model.notices.get(c) else F.array().cast("array<array<string>>") for c in model.classes))
     sure = lambda x: x["s"]["p"] >= model.threshold
@@ -279,8 +304,9 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
         (sure(x) & covers(x["g"], F.element_at(notices, x["s"]["k"].cast("int")))).alias("confirmed"),
     ))
     out = out.select("doc_id", "n_paragraphs", "text", found.alias("found"))
-    judged = F.transform(F.filter("found", lambda x: x["confirmed"]), lambda x: x["family"])
-    return out.select("doc_id", "n_paragraphs", "found", wrapped(F.col("text"), model, judged).alias("joined"))
+    out = out.withColumn("judged", F.transform(F.filter("found", lambda x: x["confirmed"]), lambda x: x["family"]))
+    out = may_wrap(out, model, F.col("judged"))
+    return out.select("doc_id", "n_paragraphs", "found", F.when(F.col("may"), wrapped(F.col("text"), model, F.col("judged"))).otherwise(F.array().cast("array<string>")).alias("joined"))
 
 
 def _any(tests: list[Column]) -> Column:
