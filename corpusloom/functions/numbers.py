@@ -33,8 +33,11 @@ def quantize_affine(v: Column) -> Column:
 
 def zscore(v: Column, columns: list[int], mean: Column, std: Column) -> Column:
     """Array with the given (0-based) columns normalised; mean and std hold one value for each of them."""
-    where = F.array(*map(F.lit, columns))
-    return F.transform(v, lambda x, i: F.when(F.array_contains(where, i), (x - F.element_at(mean, F.array_position(where, i).cast("int"))) / F.element_at(std, F.array_position(where, i).cast("int"))).otherwise(x))
+    place = [None] * (max(columns, default=-1) + 1)
+    for k, c in enumerate(columns):
+        place[c] = k
+    at = F.array(*(F.lit(k).cast("int") for k in place)) if place else F.array().cast("array<int>")
+    return F.transform(v, lambda x, i: F.when(F.get(at, i).isNotNull(), (x - F.get(mean, F.get(at, i))) / F.get(std, F.get(at, i))).otherwise(x))
 
 
 def group_columns(groups: str, order: str = "ABC", sizes: dict[str, int] | None = None) -> list[int]:

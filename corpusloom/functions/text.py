@@ -9,6 +9,10 @@ DROPPED = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 BLOCK = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})\b[^>]*>"
 ENTITIES = [("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
 EDGES = r"^\s+|\s+$"
+#: Patterns that labels and scores rest on, each with what takes its place, applied in this order.
+UNESCAPED = [(r"\\([^\p{L}\p{N}_\s])", "$1")]
+ADAPTED = [(r"\\_", "\x00"), (r"(?<![\p{L}\p{N}_\x00])_+|_+(?![\p{L}\p{N}_\x00])", ""), ("\x00", "_")]
+NORMED = [(r"[*_]", ""), (r"\s+", " "), (EDGES, ""), (r"\s*\|[\s|]*", "|"), (r"^(?:[0-9]+\.\s+|>\s*|#+\s+)+", "")]
 
 
 def tokenize(text: Column) -> Column:
@@ -21,10 +25,27 @@ def segments(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?s)([\p{L}\p{N}_]+|.)"), F.lit(1))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def language_tokens(text: Column, language: Column) -> Column:
+    """Tokens; for languages written without blanks every letter of theirs is one."""
+    single = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{N}_&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]]+)"), F.lit(1))
+    return F.when(language.isin("zh", "ja"), single).otherwise(tokenize(text))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of n tokens, joined by an unprintable mark; none for shorter arrays."""
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), "\x01"))
+    starts = lambda t: F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return bound(tokens, lambda t: F.transform(starts(t), lambda i: F.array_join(F.slice(t, i, n), "\x01")))
+
+
+def replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, new in rules:
+        text = F.regexp_replace(text, pattern, new)
+    return text
 
 
 def strip(text: Column) -> Column:
@@ -48,19 +69,17 @@ def blocks(text: Column) -> Column:
 
 def unescape(text: Column) -> Column:
     r"""A backslash before punctuation goes."""
-    return F.regexp_replace(text, r"\\([^\p{L}\p{N}_\s])", "$1")
+    return replaced(text, UNESCAPED)
 
 
 def adapt(text: Column) -> Column:
     r"""Emphasis underscores go, escaped ones (``\_``) become plain, underscores within words stay."""
-    hidden = F.replace(text, F.lit("\\_"), F.lit("\x00"))
-    return F.replace(F.regexp_replace(hidden, r"(?<![\p{L}\p{N}_\x00])_+|_+(?![\p{L}\p{N}_\x00])", ""), F.lit("\x00"), F.lit("_"))
+    return replaced(text, ADAPTED)
 
 
 def norm(text: Column) -> Column:
     """A form for matching: single blanks, no emphasis marks, folded table pipes, no list, quote or heading marks in front."""
-    s = strip(F.regexp_replace(F.translate(text, "*_", ""), r"\s+", " "))
-    return F.regexp_replace(F.regexp_replace(s, r"\s*\|[\s|]*", "|"), r"^(?:[0-9]+\.\s+|>\s*|#+\s+)+", "")
+    return replaced(text, NORMED)
 
 
 def join_selected(lines: Column, mask: Column | None = None) -> Column:

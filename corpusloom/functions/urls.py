@@ -3,8 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Public suffixes of two labels that this package knows.
-TWO_LABEL_SUFFIXES = "co.uk org.uk ac.uk gov.uk com.au net.au org.au co.jp ne.jp or.jp co.nz com.br co.in co.kr com.cn com.tr co.za".split()
+#: Second labels that make a public suffix together with a country's two letters (a rule in place of a list).
+SECOND_LABELS = "ac co com ed edu go gob gouv gov gub lg mil ne net nhs nom or org plc police sch".split()
 
 
 def host(url: Column) -> Column:
@@ -14,13 +14,14 @@ def host(url: Column) -> Column:
 
 
 def domain_of(url: Column) -> Column:
-    """Registered domain (suffix and one label before it); a single label stays; nothing gives 'unknown'."""
-    labels = F.split(host(url), r"\.")
+    """Registered domain (suffix and one label before it); addresses of numbers and single labels stay; nothing gives 'unknown'."""
+    name = F.regexp_replace(host(url), r"\.+$", "")
+    labels = F.split(name, r"\.")
     n = F.size(labels)
-    two = F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")
-    three = F.array_join(F.slice(labels, F.greatest(n - 2, F.lit(1)), F.lit(3)), ".")
-    found = F.when(two.isin(TWO_LABEL_SUFFIXES), three).otherwise(two)
-    return F.when(host(url) == "", F.lit("unknown")).otherwise(found)
+    ending = lambda k: F.array_join(F.slice(labels, F.greatest(n - (k - 1), F.lit(1)), F.lit(k)), ".")
+    number = name.rlike(r"^[0-9]+(\.[0-9]+){3}$|^\[")
+    two = F.element_at(labels, -1).rlike("^[a-z]{2}$") & F.get(labels, n - 2).isin(SECOND_LABELS)
+    return F.when(name == "", F.lit("unknown")).when(number, name).when(F.coalesce(two, F.lit(False)), ending(3)).otherwise(ending(2))
 
 
 def site_of(url: Column) -> Column:

@@ -15,15 +15,23 @@ from pyspark.sql import DataFrame
 
 from corpusloom.functions.text import BLOCK_TAGS
 
-#: Marks that annotators and a translation extension leave in pages.
+#: What annotators' tools and a translation extension leave in pages: where it stands, how it is compared, the
+#: value, and what it condemns.
 SELECT_ATTR = "cc-select"
-ANNOTATION_ATTRS = ("data-anno-uid", "cc-select")
-ANNOTATION_CLASSES = ("mark-selected", "cc-unloaded")
-ANNOTATION_STYLE_ID, ANNOTATION_STYLE_NAME = "cc-extraStyle", "cc"
-TRANSLATE_ATTR = "data-immersive-translate-"
-TRANSLATE_MARK = "data-immersive-translate-translation-element-mark"
-TRANSLATE_CLASS, TRANSLATE_ID = "immersive-translate-", "immersive-translate"
-USER_SELECT = re.compile(r"\s*user-select\s*:\s*none\s*;?", re.I)
+MARKS = [
+    ("attribute", "is", "data-immersive-translate-translation-element-mark", "element"),
+    ("class", "prefix", "immersive-translate-", "element"),
+    ("id", "prefix", "immersive-translate", "element"),
+    ("style id", "is", "cc-extraStyle", "element"),
+    ("style name", "is", "cc", "element"),
+    ("attribute", "is", "data-anno-uid", "attribute"),
+    ("attribute", "is", SELECT_ATTR, "attribute"),
+    ("attribute", "prefix", "data-immersive-translate-", "attribute"),
+    ("class", "is", "mark-selected", "class"),
+    ("class", "is", "cc-unloaded", "class"),
+    ("class", "prefix", "immersive-translate-", "class"),
+    ("declaration", "is", "user-select:none", "declaration"),
+]
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag of the first kind ends an open element of the second.
@@ -62,7 +70,7 @@ class Tree(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         ends = CLOSES.get(tag, ())
-        for i in range(len(self.open) - 1, 0, -1):
+        for i in range(len(self.open) - 1, 0, -1) if ends else ():
             if self.open[i].tag in ends:
                 del self.open[i:]
                 break
@@ -97,52 +105,44 @@ def hidden(node: Node) -> bool:
     return "display:none" in style or "display: none" in style
 
 
-def injected(node: Node) -> bool:
+def declaration(text: str) -> str:
+    """A style declaration in one spelling."""
+    return ":".join(x.strip().lower() for x in text.split(":", 1))
+
+
+def marks(node: Node) -> list[tuple[str, str]]:
+    """(what is condemned, value) for every mark of MARKS on a node."""
     a = node.attrs
-    return (
-        TRANSLATE_MARK in a
-        or any(t.startswith(TRANSLATE_CLASS) for t in a.get("class", "").split())
-        or a.get("id", "").startswith(TRANSLATE_ID)
-        or (node.tag == "style" and (a.get("id") == ANNOTATION_STYLE_ID or a.get("name") == ANNOTATION_STYLE_NAME))
-    )
+    seen = [("attribute", k) for k in a] + [("class", t) for t in a.get("class", "").split()] + [("id", a.get("id", ""))]
+    seen += [(f"style {k}", a.get(k)) for k in ("id", "name") if node.tag == "style"]
+    seen += [("declaration", declaration(d)) for d in a.get("style", "").split(";")]
+    return [(action, value) for where, value in seen for w, how, what, action in MARKS if w == where and value and (value == what or (how == "prefix" and value.startswith(what)))]
+
+
+def cleaned(node: Node) -> dict[str, str]:
+    """The node's attributes without what is condemned; an attribute that would be left empty goes."""
+    gone = set(marks(node))
+    out = {k: v for k, v in node.attrs.items() if ("attribute", k) not in gone}
+    for name, kind, cut, form, glue in (("class", "class", None, str, " "), ("style", "declaration", ";", declaration, "; ")):
+        if name in out and any(action == kind for action, _ in gone):
+            out[name] = glue.join(x.strip() for x in out[name].split(cut) if x.strip() and (kind, form(x)) not in gone)
+            if not out[name]:
+                del out[name]
+    return out
 
 
 def sanitize(root: Node, remove: bool = True) -> None:
-    """Removes injected elements (if asked) and the attributes, classes and styles of tools; what renders stays."""
-    kept = []
-    for c in root.children:
-        if isinstance(c, Node):
-            if remove and injected(c):
-                continue
-            sanitize(c, remove)
-        kept.append(c)
-    root.children = kept
-    a = {k: v for k, v in root.attrs.items() if k not in ANNOTATION_ATTRS and not k.startswith(TRANSLATE_ATTR)}
-    if "class" in a:
-        own = a["class"].split()
-        left = [t for t in own if t not in ANNOTATION_CLASSES and not t.startswith(TRANSLATE_CLASS)]
-        if len(left) != len(own):
-            a["class"] = " ".join(left)
-            if not left:
-                del a["class"]
-    if "user-select" in a.get("style", ""):
-        a["style"] = USER_SELECT.sub("", a["style"]).strip()
-        if not a["style"]:
-            del a["style"]
-    root.attrs = a
+    """Removes condemned elements (if asked) below root, and condemned attributes, classes and styles; what renders stays."""
+    for n in walk(root):  # a node's children are cut before the walk goes on to them
+        if remove:
+            n.children = [c for c in n.children if not (isinstance(c, Node) and any(action == "element" for action, _ in marks(c)))]
+    for n in walk(root):
+        n.attrs = cleaned(n)
 
 
 def residue(root: Node) -> list[str]:
     """What a sanitizer left: empty for a clean tree."""
-    out = []
-    for c in walk(root):
-        if injected(c):
-            out.append(f"element {c.tag}")
-        out += [f"attribute {k} on {c.tag}" for k in c.attrs if k in ANNOTATION_ATTRS or k.startswith(TRANSLATE_ATTR)]
-        out += [f"class {t} on {c.tag}" for t in c.attrs.get("class", "").split() if t in ANNOTATION_CLASSES or t.startswith(TRANSLATE_CLASS)]
-        if USER_SELECT.search(c.attrs.get("style", "")):
-            out.append(f"user-select on {c.tag}")
-    return out
+    return [f"{action} {n.tag if action == 'element' else f'{value} on {n.tag}'}" for n in walk(root) for action, value in dict.fromkeys(marks(n))]
 
 
 def walk(root: Node):
@@ -158,103 +158,124 @@ def main_set(root: Node, selected=None) -> set[int]:
     """Numbers of the nodes that belong to the main content: selected subtrees that are not hidden, their ancestors, and
     line breaks next to them in document order."""
     selected = selected or (lambda n: n.attrs.get(SELECT_ATTR) == "true")
-    own: set[int] = set()
+    full: set[int] = set()
     todo = [root]
     while todo:
         n = todo.pop()
         if hidden(n):
             continue
         if selected(n):
-            own |= {m.id for m in walk(n)}
+            full.update(m.id for m in walk(n))
+            above = n.parent
+            while above and above.id not in full:
+                full.add(above.id)
+                above = above.parent
         else:
             todo += [c for c in n.children if isinstance(c, Node)]
     order = list(walk(root))
-    full = set(own)
-    for n in order:
-        if n.id in own:
-            full |= {m.id for m in n.path()}
-    for a, b in zip(order, order[1:]):
-        if b.tag == "br" and a.tag != "br" and a.id in full:
-            full.add(b.id)
-        if a.tag == "br" and b.tag != "br" and b.id in full:
-            full.add(a.id)
-    return full
+    beside = zip([None, *order], order, [*order[1:], None])
+    breaks = {n.id for before, n, after in beside if n.tag == "br" and any(m and m.tag != "br" and m.id in full for m in (before, after))}
+    return full | breaks
+
+
+def opening(node: Node) -> str:
+    quoted = lambda v: v.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;")
+    return f"<{node.tag}{''.join(f' {k}={chr(34)}{quoted(v)}{chr(34)}' for k, v in node.attrs.items())}>"
 
 
 def pruned(root: Node, keep: set[int]) -> str:
     """HTML of the kept nodes; text directly below a node that is only an ancestor of kept ones goes with the rest."""
-    out = []
-
-    def emit(n, inside):
+    out: list[str] = []
+    todo: list[tuple] = [(root, False)]  # nodes to open, and strings that are ready
+    while todo:
+        n, inside = todo.pop()
+        if isinstance(n, str):
+            out.append(n)
+            continue
         if n.id not in keep:
-            return
+            continue
         whole = inside or n.attrs.get(SELECT_ATTR) == "true"
         if n.parent:
-            out.append(f"<{n.tag}{''.join(f' {k}={chr(34)}{v}{chr(34)}' for k, v in n.attrs.items())}>")
-        for c in n.children:
+            out.append(opening(n))
+            if n.tag not in VOID:
+                todo.append((f"</{n.tag}>", whole))
+        for c in reversed(n.children):
             if isinstance(c, Node):
-                emit(c, whole)
+                todo.append((c, whole))
             elif whole:
-                out.append(c.replace("&", "&amp;").replace("<", "&lt;"))
-        if n.parent and n.tag not in VOID:
-            out.append(f"</{n.tag}>")
-
-    emit(root, False)
+                todo.append((c.replace("&", "&amp;").replace("<", "&lt;"), whole))
     return "".join(out)
 
 
-def render(root: Node, render_hidden: bool = False) -> tuple[list[str], list[set[Node]]]:
-    """Lines, and for each the nodes whose text it holds (none for structural lines)."""
-    lines, src = [], []
-    text: list[str] = []
-    from_: set[Node] = set()
+class Renderer:
+    """Lines of a tree, and for each the nodes whose text it holds (none for structural lines)."""
+
+    def __init__(self, render_hidden: bool):
+        self.render_hidden = render_hidden
+        self.lines: list[str] = []
+        self.src: list[set[Node]] = []
+        self.text: list[str] = []
+        self.from_: set[Node] = set()
+
+    def line(self, text: str, nodes: set[Node]) -> None:
+        self.lines.append(text)
+        self.src.append(nodes)
 
-    def flush():
-        nonlocal text, from_
-        s = re.sub(r"\s+", " ", "".join(text)).strip()
+    def flush(self) -> None:
+        s = re.sub(r"\s+", " ", "".join(self.text)).strip()
         if s:
-            lines.append(s)
-            src.append(from_)
-        text, from_ = [], set()
-
-    def visit(n, lists):
-        nonlocal text
-        if n.tag in SKIPPED or (hidden(n) and not render_hidden):
-            return
-        block = n.tag in BLOCK_TAGS and n.tag not in ("td", "th")
-        if block:
-            flush()
-            if n.tag in ("p", "ul", "ol", "table", "h1", "h2", "h3", "blockquote") and lines and lines[-1]:
-                lines.append("")
-                src.append(set())
+            self.line(s, self.from_)
+        self.text, self.from_ = [], set()
+
+    def enter(self, n: Node, lists: list) -> list | None:
+        """Begins a node; the lists around its children, or None if it does not render."""
+        if n.tag in SKIPPED or (hidden(n) and not self.render_hidden):
+            return None
+        if is_block(n):
+            self.flush()
+            if n.tag in ("p", "ul", "ol", "table", "h1", "h2", "h3", "blockquote") and self.lines and self.lines[-1]:
+                self.line("", set())
         if n.tag == "hr":
-            flush()
-            lines.append("---")
-            src.append(set())
+            self.flush()
+            self.line("---", set())
         if n.tag == "li":
-            text.append("* " if not lists or lists[-1] is None else f"{lists[-1][0]}. ")
+            self.text.append("* " if not lists or lists[-1] is None else f"{lists[-1][0]}. ")
             if lists and lists[-1] is not None:
                 lists[-1][0] += 1
         elif re.fullmatch("h[1-6]", n.tag):
-            text.append("#" * int(n.tag[1]) + " ")
+            self.text.append("#" * int(n.tag[1]) + " ")
         elif n.tag == "blockquote":
-            text.append("> ")
-        elif n.tag in ("td", "th") and text:
-            text.append(" | ")
-        inner = [*lists, None] if n.tag == "ul" else [*lists, [1]] if n.tag == "ol" else lists
-        for c in n.children:
-            if isinstance(c, Node):
-                visit(c, inner)
-            else:
-                text.append(c)
-                if c.strip():
-                    from_.add(n)
-        if block:
-            flush()
+            self.text.append("> ")
+        elif n.tag in ("td", "th") and self.text:
+            self.text.append(" | ")
+        return [*lists, None] if n.tag == "ul" else [*lists, [1]] if n.tag == "ol" else lists
+
+    def run(self, root: Node) -> None:
+        todo: list[tuple] = [(root, [], None)]  # nodes to enter, nodes to leave (lists is None), strings with their node
+        while todo:
+            n, lists, owner = todo.pop()
+            if isinstance(n, str):
+                self.text.append(n)
+                if n.strip():
+                    self.from_.add(owner)
+            elif lists is None:
+                self.flush()
+            elif (inner := self.enter(n, lists)) is not None:
+                if is_block(n):
+                    todo.append((n, None, None))
+                todo += [(c, inner, n) for c in reversed(n.children)]
+        self.flush()
+
+
+def is_block(n: Node) -> bool:
+    return n.tag in BLOCK_TAGS and n.tag not in ("td", "th")
 
-    visit(root, [])
-    flush()
-    return lines, src
+
+def render(root: Node, render_hidden: bool = False) -> tuple[list[str], list[set[Node]]]:
+    """Lines, and for each the nodes whose text it holds (none for structural lines)."""
+    r = Renderer(render_hidden)
+    r.run(root)
+    return r.lines, r.src
 
 
 def features(node_set: set[Node], line: str) -> list[float]:
@@ -270,9 +291,6 @@ def _pages(pages: DataFrame, schema: str, each, key: str = "page_id") -> DataFra
     rows = pages.select(key, "html")
 
     def run(batches):
-        import sys
-
-        sys.setrecursionlimit(20_000)
         for batch in batches:
             ids, htmls = batch.column(key).to_pylist(), batch.column("html").to_pylist()
             for a in range(0, len(ids), 200):

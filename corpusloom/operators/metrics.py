@@ -1,7 +1,7 @@
 """Scores of selections: n-gram and word overlap, means over records, languages and page types.
 
-Overlaps are multiset intersections found by one aggregation over (key, unit): both sides are counted before the shuffle,
-so a page's text never meets another page's, and no side is collected.
+Both texts of a pair are in one row, so their overlap is counted there: both arrays of units are sorted into runs, the runs
+are merged, and neighbours with one unit give the smaller count.  No token is shuffled, no side is collected.
 """
 
 import numpy as np
@@ -9,15 +9,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import harmonic, ngrams, segments, tokenize
+from corpusloom.functions.text import bound, harmonic, ngrams, segments, tokenize
+
+
+def runs(units: Column) -> Column:
+    """array<struct<u, n>>: each different unit and how often it occurs, sorted; linear after the sort."""
+    first = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x != F.get(s, i - 1)), F.struct(x.alias("u"), i.alias("at")))), lambda x: x.isNotNull())
+    counted = lambda s: bound(first(s), lambda f: F.transform(f, lambda x, i: F.struct(x["u"].alias("u"), (F.coalesce(F.get(f, i + 1)["at"], F.size(s)) - x["at"]).alias("n"))))
+    return bound(F.sort_array(units), counted)
+
+
+def shared(a: Column, b: Column) -> Column:
+    """Size of the multiset intersection of two arrays of units."""
+    both = F.sort_array(F.concat(runs(a), runs(b)))
+    least = lambda c: F.transform(c, lambda x, i: F.when(F.get(c, i + 1)["u"] == x["u"], F.least(x["n"], F.get(c, i + 1)["n"])).otherwise(0))
+    return F.aggregate(bound(both, least), F.lit(0).cast("bigint"), lambda t, x: t + x)
 
 
 def overlaps(pairs: DataFrame, key: list[str], pred: Column, ref: Column) -> DataFrame:
-    """key, n_pred, n_ref, overlap: multiset sizes and intersection of two arrays of units per row of pairs."""
-    tagged = F.concat(F.transform(pred, lambda x: F.struct(x.alias("u"), F.lit(1).alias("p"), F.lit(0).alias("r"))), F.transform(ref, lambda x: F.struct(x.alias("u"), F.lit(0).alias("p"), F.lit(1).alias("r"))))
-    rows = pairs.select(*key, F.explode_outer(tagged).alias("x")).select(*key, "x.u", F.coalesce("x.p", F.lit(0)).alias("p"), F.coalesce("x.r", F.lit(0)).alias("r"))
-    counted = rows.groupBy(*key, "u").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    return counted.groupBy(*key).agg(F.sum("p").alias("n_pred"), F.sum("r").alias("n_ref"), F.sum(F.least("p", "r")).alias("overlap"))
+    """key, n_pred, n_ref, overlap: multiset sizes and intersection of two arrays of units, for each row of pairs."""
+    rows = pairs.select(*key, pred.alias("__pred"), ref.alias("__ref"))
+    return rows.select(*key, F.size("__pred").cast("bigint").alias("n_pred"), F.size("__ref").cast("bigint").alias("n_ref"), shared(F.col("__pred"), F.col("__ref")).alias("overlap"))
 
 
 def _scores(o: DataFrame, key: list[str], both_empty: Column) -> DataFrame:
@@ -27,17 +39,17 @@ def _scores(o: DataFrame, key: list[str], both_empty: Column) -> DataFrame:
 
 
 def word_f1(pairs: DataFrame, key: list[str], pred: str = "pred", ref: str = "ref") -> DataFrame:
-    """Bag-of-words precision, recall, F1 per key: both empty scores 1, one empty 0."""
+    """Bag-of-words precision, recall, F1 per row, with the columns of key: both empty scores 1, one empty 0."""
     o = overlaps(pairs, key, tokenize(F.col(pred)), tokenize(F.col(ref)))
     return _scores(o, key, (F.col("n_pred") == 0) & (F.col("n_ref") == 0))
 
 
 def rouge_n(pairs: DataFrame, key: list[str], pred: str = "pred", ref: str = "ref", n: int = 5) -> DataFrame:
     """Clipped n-gram precision, recall, F1: both blank scores 1; fewer than n tokens have no n-gram."""
-    blank = F.trim(F.regexp_replace(F.concat(F.coalesce(pred, F.lit("")), F.coalesce(ref, F.lit(""))), r"\s", "")) == ""
-    o = overlaps(pairs, key, ngrams(segments(F.col(pred)), n), ngrams(segments(F.col(ref)), n))
-    flagged = pairs.select(*key, blank.alias("blank"))
-    return _scores(o.join(flagged, key), key, F.col("blank"))
+    blank = F.regexp_replace(F.concat(F.coalesce(pred, F.lit("")), F.coalesce(ref, F.lit(""))), r"\s", "") == ""
+    rows = pairs.select(*key, F.col(pred).alias("__p"), F.col(ref).alias("__r"), blank.alias("__blank"))
+    o = overlaps(rows, [*key, "__blank"], ngrams(segments(F.col("__p")), n), ngrams(segments(F.col("__r")), n))
+    return _scores(o, [*key, "__blank"], F.col("__blank")).drop("__blank")
 
 
 def lcs_length(a: list, b: list) -> int:
@@ -70,9 +82,15 @@ def rouge_l(pairs: DataFrame, key: list[str], pred: str = "pred", ref: str = "re
     return _scores(rows.mapInArrow(each, schema), key, (F.col("n_pred") == 0) & (F.col("n_ref") == 0))
 
 
-def board(scores: DataFrame) -> DataFrame:
-    """n and the mean precision, recall, F1 over records (null scores do not count)."""
-    return scores.where("f1 is not null").agg(F.count(F.lit(1)).alias("n"), F.avg("prec").alias("prec"), F.avg("rec").alias("rec"), F.avg("f1").alias("f1"))
+def board(scores: DataFrame, edges: tuple[float, ...] = ()) -> DataFrame:
+    """One row: n and n_null (records without a score, which no mean counts), the mean precision, recall, F1, and the
+    number of records below each edge; one pass."""
+    mean = lambda c: F.avg(F.when(F.col("f1").isNotNull(), F.col(c))).alias(c)
+    return scores.agg(F.count("f1").alias("n"), F.count_if(F.col("f1").isNull()).alias("n_null"), mean("prec"), mean("rec"), mean("f1"), *below(edges))
+
+
+def below(edges: tuple[float, ...]) -> list[Column]:
+    return [F.count_if(F.col("f1") < e).alias(f"below_{round(100 * e)}") for e in edges]
 
 
 def by_group(scores: DataFrame, group: str, order: list[str] | None = None) -> DataFrame:
@@ -97,9 +115,12 @@ def confusion(rows: DataFrame, pred: Column, truth: Column) -> DataFrame:
     return t.withColumns({"prec": p, "rec": r}).withColumn("f1", 2 * F.col("prec") * F.col("rec") / F.greatest(F.col("prec") + F.col("rec"), F.lit(1e-9)))
 
 
-def tails(scores: DataFrame, edges=(0.95, 0.90, 0.85, 0.80)) -> DataFrame:
+TAILS = (0.95, 0.90, 0.85, 0.80)
+
+
+def tails(scores: DataFrame, edges: tuple[float, ...] = TAILS) -> DataFrame:
     """How many records lie below each edge."""
-    return scores.agg(*(F.count_if(F.col("f1") < e).alias(f"below_{round(100 * e)}") for e in edges))
+    return scores.agg(*below(edges))
 
 
 def worst(scores: DataFrame, key: str, below: float = 0.8, k: int = 20) -> DataFrame:

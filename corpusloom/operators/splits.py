@@ -1,5 +1,6 @@
 """Corpus merging, leak-free folds, nested subsets and overlap checks."""
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,18 +24,28 @@ def site_split(pages: DataFrame, site: str, language: str, level: str, seed: int
     """site, n, fold: whole sites go to val, per (language, level) of the site, until the share is reached.
 
     Sites come in a keyed order; one that would lift the bucket above 1.4 times its target is skipped.  The running total
-    depends on what was taken, so each bucket is folded over its array of (order, site, size): sites, not pages.
+    depends on what was taken, so a bucket's sites (not pages) are read in order by one task, which keeps one number.
     """
     sizes = pages.groupBy(site).agg(F.count(F.lit(1)).alias("n"))
     known = sizes.join(modes(pages, site, language), site).join(modes(pages, site, level), site)
-    buckets = known.groupBy(language, level).agg(
-        F.array_sort(F.collect_list(F.struct(shuffled(F.col(site), seed).alias("o"), F.col(site).alias("s"), F.col("n").cast("double").alias("n")))).alias("l"), (F.sum("n") * share).alias("target")
-    )
-    empty = F.struct(F.lit(0.0).alias("got"), F.array().cast("array<string>").alias("taken"))
-    take = lambda acc, x: (acc["got"] < F.col("target")) & (acc["got"] + x["n"] <= F.col("target") * MOST)
-    folded = F.aggregate("l", empty, lambda acc, x: F.when(take(acc, x), F.struct((acc["got"] + x["n"]).alias("got"), F.array_append(acc["taken"], x["s"]).alias("taken"))).otherwise(acc))
-    val = buckets.select(F.explode(folded["taken"]).alias(site)).withColumn("fold", F.lit("val"))
-    return known.join(val, site, "left").withColumn("fold", F.coalesce("fold", F.lit("train"))).select(site, "n", "fold")
+    target = known.groupBy(language, level).agg((F.sum("n") * share).alias("target"))
+    rows = known.join(F.broadcast(target), [language, level]).select(language, level, shuffled(F.col(site), seed).alias("o"), F.col(site).alias("site"), "n", "target")  # a row for each bucket
+
+    def take(batches):
+        bucket, got = None, 0.0
+        for batch in batches:
+            fold = []
+            for lang, lev, n, want in zip(*(batch.column(c).to_pylist() for c in (language, level, "n", "target")), strict=True):
+                if (lang, lev) != bucket:
+                    bucket, got = (lang, lev), 0.0
+                val = got < want and got + n <= want * MOST
+                got += n if val else 0
+                fold.append("val" if val else "train")
+            yield pa.RecordBatch.from_arrays([batch.column("site"), batch.column("n"), pa.array(fold)], ["site", "n", "fold"])
+
+    kind = pages.schema[site].dataType.simpleString()
+    out = rows.repartition(language, level).sortWithinPartitions(language, level, "o", "site").mapInArrow(take, f"site {kind}, n bigint, fold string")
+    return out.withColumnRenamed("site", site)
 
 
 def nested_subset(pages: DataFrame, key: str, level: str, fold: str, n: int, seed: int = 20260815) -> DataFrame:

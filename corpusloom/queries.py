@@ -80,7 +80,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def floor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = page_texts(spark, sf_dir)
-    return metrics.word_f1(pages, ["page_id"]).join(pages.select("page_id", "language", "page_type"), "page_id")
+    return metrics.word_f1(pages, ["page_id", "language", "page_type"])
 
 
 @query(f"{PAGES_SQL} SELECT language, CAST(count(*) AS BIGINT) AS n, round(avg(prec), 8) AS prec, round(avg(rec), 8) AS rec, round(avg(f1), 8) AS f1 FROM score GROUP BY language")
@@ -106,9 +106,7 @@ def f1_by_type(spark, sf_dir):
 
 @query(f"{PAGES_SQL} SELECT count(*) AS n, round(avg(prec), 8) AS prec, round(avg(rec), 8) AS rec, round(avg(f1), 8) AS f1, count(*) FILTER (f1 < 0.95) AS below_95, count(*) FILTER (f1 < 0.9) AS below_90, count(*) FILTER (f1 < 0.85) AS below_85, count(*) FILTER (f1 < 0.8) AS below_80 FROM score")
 def board_and_tails(spark, sf_dir):
-    s = floor_scores(spark, sf_dir).persist()
-    b = metrics.board(s).select("n", *(r8(F.col(c)).alias(c) for c in ("prec", "rec", "f1")))
-    return b.crossJoin(F.broadcast(metrics.tails(s)))  # one row each
+    return metrics.board(floor_scores(spark, sf_dir), metrics.TAILS).select("n", *(r8(F.col(c)).alias(c) for c in ("prec", "rec", "f1")), *(f"below_{round(100 * e)}" for e in metrics.TAILS))
 
 
 @query(f"{PAGES_SQL} SELECT page_id, round(f1, 8) AS f1 FROM score WHERE f1 < 0.8 ORDER BY score.f1, page_id LIMIT 20")
@@ -134,39 +132,39 @@ def tokenize_counts(spark, sf_dir):
     return c.groupBy("doc_id").agg(F.sum("c").alias("n_tokens"), F.count(F.lit(1)).alias("n_types"), F.max("c").alias("most"))
 
 
-# ---- text pairs: a conversation's first two turns
+# ---- text pairs: every turn and the one after it
 
-_PAIRS = "WITH pair AS (SELECT conv_id, max(text) FILTER (turn = 0) AS pred, max(text) FILTER (turn = 1) AS ref FROM conversations GROUP BY conv_id)"
+_PAIRS = "WITH pair AS (SELECT conv_id, row_number() OVER w AS k, text AS pred, lead(text) OVER w AS ref FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST))"
 
 
 def turn_pairs(spark, sf_dir) -> DataFrame:
-    c = read(spark, sf_dir, "conversations").where("turn <= 1")
-    return c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("pred"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("ref"))
+    w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return read(spark, sf_dir, "conversations").select("conv_id", F.row_number().over(w).alias("k"), F.col("text").alias("pred"), F.lead("text").over(w).alias("ref"))
 
 
 def _pair_scores(unit: str) -> str:
-    return f"""{_PAIRS}, unit AS (SELECT conv_id, u, sum(p) AS p, sum(r) AS r FROM (SELECT conv_id, unnest({unit.format('pred')}) AS u, 1 AS p, 0 AS r FROM pair
- UNION ALL SELECT conv_id, unnest({unit.format('ref')}), 0, 1 FROM pair) GROUP BY conv_id, u),
- o AS (SELECT pair.conv_id, any_value(pair.pred) AS pred, any_value(pair.ref) AS ref, coalesce(sum(p), 0) AS n_pred, coalesce(sum(r), 0) AS n_ref, coalesce(sum(least(p, r)), 0) AS overlap FROM pair LEFT JOIN unit USING (conv_id) GROUP BY pair.conv_id)"""
+    return f"""{_PAIRS}, unit AS (SELECT conv_id, k, u, sum(p) AS p, sum(r) AS r FROM (SELECT conv_id, k, unnest({unit.format('pred')}) AS u, 1 AS p, 0 AS r FROM pair
+ UNION ALL SELECT conv_id, k, unnest({unit.format('ref')}), 0, 1 FROM pair) GROUP BY conv_id, k, u),
+ o AS (SELECT pair.conv_id, pair.k, any_value(pair.pred) AS pred, any_value(pair.ref) AS ref, coalesce(sum(p), 0) AS n_pred, coalesce(sum(r), 0) AS n_ref, coalesce(sum(least(p, r)), 0) AS overlap FROM pair LEFT JOIN unit ON pair.conv_id IS NOT DISTINCT FROM unit.conv_id AND pair.k = unit.k GROUP BY pair.conv_id, pair.k)"""
 
 
 _SEG = r"regexp_extract_all(coalesce({}, ''), '(?s)[\p{{L}}\p{{N}}_]+|.')"
 _GRAM5 = f"list_transform(range(1, greatest(len({_SEG}) - 4, 0) + 1), lambda i: array_to_string({_SEG}[i:i + 4], chr(1)))".replace("{}", "{0}")
 
 
-@query(_pair_scores(_GRAM5) + " SELECT conv_id, CAST(n_pred AS BIGINT) AS n_pred, CAST(n_ref AS BIGINT) AS n_ref, CAST(overlap AS BIGINT) AS overlap, round(CASE WHEN regexp_replace(coalesce(pred, '') || coalesce(ref, ''), '\\s', '', 'g') = '' THEN 1.0 WHEN overlap > 0 THEN 2.0 * overlap / (n_pred + n_ref) ELSE 0 END, 8) AS f1 FROM o")
+@query(_pair_scores(_GRAM5) + " SELECT conv_id, CAST(k AS INTEGER) AS k, CAST(n_pred AS BIGINT) AS n_pred, CAST(n_ref AS BIGINT) AS n_ref, CAST(overlap AS BIGINT) AS overlap, round(CASE WHEN regexp_replace(coalesce(pred, '') || coalesce(ref, ''), '\\s', '', 'g') = '' THEN 1.0 WHEN overlap > 0 THEN 2.0 * overlap / (n_pred + n_ref) ELSE 0 END, 8) AS f1 FROM o")
 def rouge5_pairs(spark, sf_dir):
-    return metrics.rouge_n(turn_pairs(spark, sf_dir), ["conv_id"]).select("conv_id", "n_pred", "n_ref", "overlap", r8(F.col("f1")).alias("f1"))
+    return metrics.rouge_n(turn_pairs(spark, sf_dir), ["conv_id", "k"]).select("conv_id", "k", "n_pred", "n_ref", "overlap", r8(F.col("f1")).alias("f1"))
 
 
-@query(_pair_scores(_TOK) + " SELECT conv_id, CAST(n_pred AS BIGINT) AS n_pred, CAST(n_ref AS BIGINT) AS n_ref, CAST(overlap AS BIGINT) AS overlap, round(CASE WHEN n_pred = 0 AND n_ref = 0 THEN 1.0 WHEN overlap > 0 THEN 2.0 * overlap / (n_pred + n_ref) ELSE 0 END, 8) AS f1 FROM o")
+@query(_pair_scores(_TOK) + " SELECT conv_id, CAST(k AS INTEGER) AS k, CAST(n_pred AS BIGINT) AS n_pred, CAST(n_ref AS BIGINT) AS n_ref, CAST(overlap AS BIGINT) AS overlap, round(CASE WHEN n_pred = 0 AND n_ref = 0 THEN 1.0 WHEN overlap > 0 THEN 2.0 * overlap / (n_pred + n_ref) ELSE 0 END, 8) AS f1 FROM o")
 def word_f1_pairs(spark, sf_dir):
-    return metrics.word_f1(turn_pairs(spark, sf_dir), ["conv_id"]).select("conv_id", "n_pred", "n_ref", "overlap", r8(F.col("f1")).alias("f1"))
+    return metrics.word_f1(turn_pairs(spark, sf_dir), ["conv_id", "k"]).select("conv_id", "k", "n_pred", "n_ref", "overlap", r8(F.col("f1")).alias("f1"))
 
 
 @query()
 def rouge_l_pairs(spark, sf_dir):
-    return metrics.rouge_l(turn_pairs(spark, sf_dir), ["conv_id"])
+    return metrics.rouge_l(turn_pairs(spark, sf_dir), ["conv_id", "k"])
 
 
 @query("SELECT conv_id, round(CASE WHEN len(s) = 0 THEN 1.0 ELSE len(list_filter(s, lambda x: contains(lower(t), lower(x))))::DOUBLE / len(s) END, 8) AS rate FROM (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS t, ['the', 'und', 'de la', 'THING'] AS s FROM conversations GROUP BY conv_id)")
@@ -204,7 +202,8 @@ def main_set_labels(spark, sf_dir):
 
 @query()
 def block_features(spark, sf_dir):
-    return labels.blocks(labels.sandwich(dom.lines(read(spark, sf_dir, "pages")))).select("page_id", "idx", F.size("feats").alias("n"), *(F.col("feats")[i].alias(f"f{i}") for i in (30, 31, 32)))
+    rows = labels.blocks(labels.sandwich(dom.lines(read(spark, sf_dir, "pages"))))
+    return rows.select("page_id", "idx", *(F.col("feats")[i].alias(f"f{i}") for i in range(len(dom.FEATURE_TAGS) + 3)))
 
 
 @query()
@@ -260,7 +259,7 @@ def _token_blocks(spark, sf_dir) -> DataFrame:
 
 
 @query(_TOKENS + """ SELECT doc_id, CAST(s AS INTEGER) AS tok_lo, CAST(s + 128 AS INTEGER) AS tok_hi, CAST(min(idx) AS INTEGER) AS blk_lo, CAST(max(idx) + 1 AS INTEGER) AS blk_hi
- FROM r, (SELECT unnest(range(0, 100000, 64)) AS s) WHERE n > 128 AND s <= ceil((n - 128) / 64.0) * 64 AND first >= s AND last < s + 128 GROUP BY doc_id, s
+ FROM r JOIN (SELECT doc_id, unnest(range(0, CAST(ceil((n - 128) / 64.0) * 64 AS BIGINT) + 1, 64)) AS s FROM (SELECT DISTINCT doc_id, n FROM r WHERE n > 128)) USING (doc_id) WHERE first >= s AND last < s + 128 GROUP BY doc_id, s
  UNION ALL SELECT doc_id, 0, CAST(any_value(n) AS INTEGER), 0, CAST(max(idx) + 1 AS INTEGER) FROM r WHERE n <= 128 GROUP BY doc_id""")
 def window_samples(spark, sf_dir):
     return model.window_samples(_token_blocks(spark, sf_dir), "doc_id", 128).select("doc_id", *(F.col(c).cast("int").alias(c) for c in ("tok_lo", "tok_hi", "blk_lo", "blk_hi")))
@@ -468,7 +467,8 @@ def resume_todo(spark, sf_dir):
 
 # ---- features and models
 
-_DIMS = list(range(0, 64, 9))
+_WIDTH = 64
+_DIMS = [i for i in range(_WIDTH) if i != 1]  # component 1 stays as it is
 
 
 @query("WITH s AS (SELECT " + ", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS m{i}, CASE WHEN stddev_pop(embedding[{i + 1}]::DOUBLE) < 1e-6 THEN 1 ELSE stddev_pop(embedding[{i + 1}]::DOUBLE) END AS s{i}" for i in _DIMS) + " FROM embeddings WHERE label < 8) SELECT vec_id, " + ", ".join(f"round((embedding[{i + 1}] - m{i}) / s{i}, 6) AS z{i}" for i in _DIMS) + ", round(embedding[2]::DOUBLE, 6) AS raw FROM embeddings, s")
@@ -485,10 +485,10 @@ def quantize_int8(spark, sf_dir):
     return q.select("vec_id", F.round("scale", 10).alias("scale"), F.aggregate("q", F.lit(0).cast("bigint"), lambda t, x: t + x).alias("total"), F.array_max(F.transform("q", F.abs)).alias("most"), r8(F.col("error")).alias("error"))
 
 
-@query("SELECT label, count(*) AS n, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 6) AS m{i}" for i in _DIMS) + " FROM embeddings GROUP BY label")
+@query("SELECT label, count(*) AS n, " + ", ".join(f"round(avg(embedding[{i + 1}]::DOUBLE), 6) AS m{i}" for i in range(_WIDTH)) + " FROM embeddings GROUP BY label")
 def mean_pool(spark, sf_dir):
-    p = model.mean_pool(read(spark, sf_dir, "embeddings"), "label", "embedding", 64)
-    return p.select("label", "n", *(F.round(F.col("embedding")[i], 6).alias(f"m{i}") for i in _DIMS))
+    p = model.mean_pool(read(spark, sf_dir, "embeddings"), "label", "embedding", _WIDTH)
+    return p.select("label", "n", *(F.round(F.col("embedding")[i], 6).alias(f"m{i}") for i in range(_WIDTH)))
 
 
 @query("SELECT tp, fp, fn, round(p, 8) AS prec, round(r, 8) AS rec, round(2 * p * r / greatest(p + r, 1e-9), 8) AS f1 FROM (SELECT *, tp / greatest(tp + fp, 1) AS p, tp / greatest(tp + fn, 1) AS r FROM (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fp, count(*) FILTER (quality <> 1 AND toxic = 0) AS fn FROM labels))")

@@ -54,3 +54,19 @@ def test_ordered_lists_and_deep_pages():
     lines = dom.render(dom.Tree("<ol><li>a<li>b</ol><ol><li>x</ol><table><tr><td>1<td>2<tr><td>3</table>").root)[0]
     assert [x for x in lines if x] == ["1. a", "2. b", "1. x", "1 | 2", "3"]
     assert len(list(dom.walk(dom.Tree("<div>" * 3000 + "x").root))) == 3001
+
+
+def test_deep_pages_and_attributes_with_quotes(spark):
+    deep = "<div>" * 30_000 + "<article>x</article>"
+    df = spark.createDataFrame([(1, deep), (2, '<article title="a &quot;b&quot; <c>"><p>t</p></article>')], "page_id long, html string")
+    assert [r.text for r in dom.lines(df).where("page_id = 1").collect()] == ["x"]
+    assert dom.sanitized(df).where("page_id = 1").first().n_before == 30_002
+    html = {r.page_id: r.main_html for r in dom.pruned_html(df).collect()}
+    assert html[1].endswith("<article cc-select=\"true\">x</article>" + "</div>" * 30_000)
+    again = dom.Tree(html[2]).nodes[1]
+    assert again.attrs["title"] == 'a "b" <c>'
+
+
+def test_declarations_are_read_as_such():
+    node = dom.Tree('<p style="-webkit-user-select: none; USER-SELECT : none;color:red" class="a immersive-translate-x">t</p>').nodes[1]
+    assert dom.cleaned(node) == {"style": "-webkit-user-select: none; color:red", "class": "a"}
