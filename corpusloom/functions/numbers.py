@@ -24,6 +24,11 @@ def dequantize(q: Column) -> Column:
     return F.transform(q["q"], lambda x: x * q["scale"])
 
 
+def quantize_channels(m: Column) -> Column:
+    """Fake-quantized values of a matrix (an array of rows): symmetric int8, one scale for each row (output channel)."""
+    return F.transform(m, lambda row: dequantize(quantize_row(row)))
+
+
 def quantize_affine(v: Column) -> Column:
     """Fake-quantized values: unsigned 8 bits with scale and zero point of the whole array."""
     lo, hi = F.array_min(v).cast("double"), F.array_max(v).cast("double")

@@ -285,16 +285,19 @@ def features(node_set: set[Node], line: str) -> list[float]:
     return [float(t in path) for t in FEATURE_TAGS] + [float(depth), float("a" in path), round(math.log1p(len(line)), 4)]
 
 
-def _pages(pages: DataFrame, schema: str, each, key: str = "page_id") -> DataFrame:
-    """One call of each(html) per page, giving rows behind the page's key."""
+def per_page(pages: DataFrame, schema: str, each, key: str = "page_id", columns: list[str] | None = None) -> DataFrame:
+    """One call of each(html) (or of the given columns) per page, giving rows behind the page's key."""
     kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(key, "html")
+    columns = columns or ["html"]
+    rows = pages.select(key, *columns)
 
     def run(batches):
-        for batch in batches:
-            ids, htmls = batch.column(key).to_pylist(), batch.column("html").to_pylist()
-            for a in range(0, len(ids), 200):
-                out = [(k, *r) for k, h in zip(ids[a : a + 200], htmls[a : a + 200], strict=True) for r in each(h or "")]
+        for whole in batches:
+            for a in range(0, whole.num_rows, 200):
+                batch = whole.slice(a, 200)
+                given = [batch.column(c).to_pylist() for c in columns]
+                given[0] = [h or "" for h in given[0]]
+                out = [(k, *r) for k, *x in zip(batch.column(key).to_pylist(), *given, strict=True) for r in each(*x)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
@@ -313,7 +316,7 @@ def nodes(pages: DataFrame) -> DataFrame:
     def each(html):
         return [(n.id, n.parent.id if n.parent else None, n.end, n.tag, n.depth, list(n.attrs.items()), re.sub(r"\s+", " ", "".join(c for c in n.children if isinstance(c, str))).strip()) for n in Tree(html).nodes]
 
-    return _pages(pages, "node_id int, parent_id int, end_id int, tag string, depth int, attrs map<string,string>, text string", each)
+    return per_page(pages, "node_id int, parent_id int, end_id int, tag string, depth int, attrs map<string,string>, text string", each)
 
 
 def lines(pages: DataFrame, select_tag: str | None = "article", render_hidden: bool = False) -> DataFrame:
@@ -331,7 +334,7 @@ def lines(pages: DataFrame, select_tag: str | None = "article", render_hidden: b
         text, src = render(root, render_hidden)
         return [(i, t.rstrip(), (int(any(n.id in main for n in s)) if s else None), not t.strip(), features(s, t)) for i, (t, s) in enumerate(zip(text, src, strict=True))]
 
-    return _pages(pages, "idx int, text string, known int, blank boolean, feats array<float>", each)
+    return per_page(pages, "idx int, text string, known int, blank boolean, feats array<float>", each)
 
 
 def sanitized(pages: DataFrame) -> DataFrame:
@@ -344,7 +347,7 @@ def sanitized(pages: DataFrame) -> DataFrame:
         after = sum(1 for _ in walk(root))
         return [(before, after, before - after, "; ".join(residue(root)))]
 
-    return _pages(pages, "n_before int, n_after int, n_removed int, residue string", each)
+    return per_page(pages, "n_before int, n_after int, n_removed int, residue string", each)
 
 
 def pruned_html(pages: DataFrame, select_tag: str = "article") -> DataFrame:
@@ -359,4 +362,13 @@ def pruned_html(pages: DataFrame, select_tag: str = "article") -> DataFrame:
         text = pruned(root, keep)
         return [(text, len(keep))]
 
-    return _pages(pages, "main_html string, n_kept int", each)
+    return per_page(pages, "main_html string, n_kept int", each)
+
+
+def markdown(pages: DataFrame) -> DataFrame:
+    """page_id, markdown: the rendered lines, without links or images; every page starts from a fresh renderer."""
+
+    def each(html):
+        return [("\n".join(x for x in render(Tree(html).root)[0]),)]
+
+    return per_page(pages, "markdown string", each)

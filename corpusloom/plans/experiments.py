@@ -1,29 +1,54 @@
 """Experiment specs, sweeps, resume, pipelines with checks."""
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEYS = {"name", "recipe", "board", "extra", "model", "sweep", "seeds", "note", "fixed"}
+KEYS = {"name", "recipe", "board", "extra", "model", "sweep", "seeds", "note", "fixed", "holdout", "train_limit"}
 
 
 def validate(spec: dict) -> dict:
     """The spec, or an error that names what is wrong with it."""
-    if unknown := set(spec) - KEYS:
-        raise ValueError(f"unknown keys: {sorted(unknown)}")
-    for k in ("name", "recipe", "board"):
-        if not spec.get(k) or not isinstance(spec[k], str):
-            raise ValueError(f"{k} is missing")
-    for k, v in (spec.get("sweep") or {}).items():
-        if not isinstance(v, list) or not v:
-            raise ValueError(f"sweep.{k} needs a list of values")
-    seeds = spec.get("seeds", [0])
-    if not seeds or len(set(seeds)) != len(seeds) or not all(isinstance(s, int) for s in seeds):
-        raise ValueError("seeds need to be distinct whole numbers")
+    wrong = problems(spec)
+    if wrong:
+        raise ValueError("; ".join(wrong))
     return spec
 
 
+def problems(spec: dict) -> list[str]:
+    if not isinstance(spec, dict):
+        return ["a spec is a map"]
+    out = [f"unknown keys: {sorted(map(str, unknown))}"] if (unknown := set(spec) - KEYS) else []
+    out += [f"{k} is missing" for k in ("name", "recipe", "board") if not spec.get(k) or not isinstance(spec[k], str)]
+    sweep, fixed, seeds = spec.get("sweep") or {}, spec.get("fixed") or {}, spec.get("seeds", [0])
+    for part, value in (("sweep", sweep), ("fixed", fixed)):
+        if not isinstance(value, dict):
+            return [*out, f"{part} is a map"]
+    for k, v in sweep.items():
+        if not isinstance(v, list) or not v:
+            out.append(f"sweep.{k} needs a list of values")
+        elif len({json.dumps(x, sort_keys=True) for x in v}) != len(v):
+            out.append(f"sweep.{k} repeats a value")
+    own = {"recipe", "board", "model", "extra"} & set(spec)
+    out += [f"{k} is both swept and given" for k in sorted(set(sweep) & (set(fixed) | own))]
+    out += [f"{k} is both fixed and given" for k in sorted(set(fixed) & own)]
+    if "seed" in sweep or "seed" in fixed:
+        out.append("seeds stand in seeds")
+    if not isinstance(seeds, list) or not seeds:
+        out.append("seeds needs a list")
+    elif not all(isinstance(s, int) and not isinstance(s, bool) and s >= 0 for s in seeds) or len(set(seeds)) != len(seeds):
+        out.append("seeds need to be distinct whole numbers")
+    if spec.get("holdout") is not None and spec.get("train_limit") is not None:
+        out.append("holdout and train_limit exclude one another")
+    if (n := spec.get("train_limit")) is not None and (not isinstance(n, int) or n <= 0):
+        out.append("train_limit is a positive number")
+    if isinstance(spec.get("name"), str) and spec["name"] and not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", spec["name"]):
+        out.append("name has characters that a folder should not have")
+    return out
+
+
 def expand(spark: SparkSession, spec: dict) -> DataFrame:
     """One row per run: n (order: axes as written, seeds innermost), config (JSON, keys sorted)."""
     validate(spec)

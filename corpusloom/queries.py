@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import numbers, text, urls
-from corpusloom.operators import dom, labels, ledger, metrics, model, splits
+from corpusloom.operators import boards, dom, heads, labels, ledger, metrics, model, records, splits
 from corpusloom.plans import experiments
 
 QUERIES, SQL = {}, {}
@@ -538,3 +538,209 @@ def windowed_latency(spark, sf_dir):
     from corpusloom.streaming.pages import latencies
 
     return latencies(read(spark, sf_dir, "events")).select("event_type", F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "n", F.round("mean", 6).alias("mean"))
+
+
+# ---- boards: lines of documents as blocks, labels and probabilities from their lengths
+
+_BLOCKS_SQL = r"""WITH b AS (SELECT doc_id, i - 1 AS idx, translate(l[i], '_\', '  ') AS t, len(l[i]) % 2 AS label, (len(l[i]) * 37 % 101) / 101.0 AS p
+ FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"""
+
+
+def _blocks(spark, sf_dir) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "t"))
+    n = F.length("t")
+    return rows.select("doc_id", "idx", F.translate("t", "_\\", "  ").alias("text"), (n % 2).alias("label"), ((n * 37 % 101) / 101.0).alias("p"))
+
+
+@query(_BLOCKS_SQL + """ SELECT doc_id, kind, sha256(pred) AS sha256, CAST(len(pred) AS INTEGER) AS n_chars FROM (
+ SELECT doc_id, 'oracle' AS kind, coalesce(string_agg(t, chr(10) ORDER BY idx) FILTER (label = 1), '') AS pred FROM b GROUP BY doc_id UNION ALL
+ SELECT doc_id, 'all', string_agg(t, chr(10) ORDER BY idx) FROM b GROUP BY doc_id UNION ALL
+ SELECT doc_id, 'probs', coalesce(string_agg(t, chr(10) ORDER BY idx) FILTER (p > 0.5), '') FROM b GROUP BY doc_id)""")
+def mask_predictions(spark, sf_dir):
+    b = _blocks(spark, sf_dir)
+    masks = {"oracle": boards.oracle(F.col("label")), "all": boards.select_all(), "probs": boards.above(F.col("p"))}
+    out = [boards.masked(b, "doc_id", m).select("doc_id", F.lit(k).alias("kind"), F.sha2("pred", 256).alias("sha256"), F.length("pred").alias("n_chars")) for k, m in masks.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(_BLOCKS_SQL + ", d AS (SELECT doc_id, count(*) AS n, sum(label) AS m FROM b GROUP BY doc_id) SELECT count(*) AS pages, count(*) FILTER (m > 0) AS with_main, CAST(sum(n) AS BIGINT) AS lines, CAST(sum(m) AS BIGINT) AS main, round(sum(m) / sum(n), 8) AS share FROM d")
+def corpus_totals(spark, sf_dir):
+    return boards.totals(_blocks(spark, sf_dir), "doc_id").withColumn("share", r8(F.col("share")))
+
+
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('7|' || doc_id), doc_id) AS k FROM documents) WHERE k <= 5")
+def fold_prefix(spark, sf_dir):
+    return boards.fold_prefix(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang", 5)
+
+
+@query("SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS place FROM documents GROUP BY source")
+def group_sizes(spark, sf_dir):
+    n = read(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("place", F.row_number().over(W.orderBy(F.desc("n"), "source")))  # a row for each source
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'de' INTERSECT SELECT doc_id FROM labels")
+def id_collisions(spark, sf_dir):
+    return boards.collisions(read(spark, sf_dir, "documents").where("lang = 'de'"), read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (d.doc_id IS NULL) AS missing, count(*) FILTER (d.doc_id IS NULL) = 0 AS within FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN (SELECT DISTINCT doc_id FROM documents) d USING (doc_id)")
+def subset_test(spark, sf_dir):
+    return boards.subset(read(spark, sf_dir, "labels"), read(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(_BLOCKS_SQL + " SELECT lang, quality, count(*) AS n, CAST(sum(k) AS BIGINT) AS lines FROM documents JOIN labels USING (doc_id) JOIN (SELECT doc_id, count(*) AS k FROM b GROUP BY doc_id) USING (doc_id) GROUP BY ALL")
+def three_way_join(spark, sf_dir):
+    """Pages, labels and block counts on one key."""
+    counts = _blocks(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels"), "doc_id").join(counts, "doc_id")
+    return rows.groupBy("lang", "quality").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("lines"))
+
+
+_LANGUAGES = {"en": "English", "de": "German", "fr": "French"}
+
+
+@query("SELECT coalesce(name, 'other') AS name, count(*) AS n FROM documents LEFT JOIN (VALUES ('en', 'English'), ('de', 'German'), ('fr', 'French')) AS v(lang, name) USING (lang) GROUP BY ALL")
+def language_lookup(spark, sf_dir):
+    names = spark.range(1).select(F.explode(F.create_map(*(F.lit(x) for kv in _LANGUAGES.items() for x in kv))).alias("lang", "name"))
+    rows = read(spark, sf_dir, "documents").select("lang").join(F.broadcast(names), "lang", "left")  # three rows
+    return rows.groupBy(F.coalesce("name", F.lit("other")).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT labels.doc_id, coalesce(len(text), 0) AS n_chars FROM labels LEFT JOIN (SELECT doc_id, text FROM documents WHERE doc_id % 2 = 0) USING (doc_id)")
+def answered_records(spark, sf_dir):
+    """Every labelled document has a row, also where a prediction is missing."""
+    preds = read(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", F.col("text").alias("pred"))
+    return boards.answered(read(spark, sf_dir, "labels"), preds, "doc_id", strict=False).select("doc_id", F.length("pred").cast("bigint").alias("n_chars"))
+
+
+@query("SELECT doc_id, coalesce(nullif(source, ''), 'unknown') AS source, coalesce(nullif(lang, ''), 'und') AS lang FROM documents")
+def projected(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return records.with_defaults(d, {"doc_id": -1, "source": "unknown", "lang": "und"})
+
+
+@query(r"""SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p\s*>', 1), lambda x: regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS ref FROM pages""")
+def clean_reference(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", boards.clean_reference(F.col("html")).alias("ref"))
+
+
+@query(f"SELECT lang, CAST(sum(len({_TOK.format('text')})) AS BIGINT) AS n FROM documents GROUP BY lang")
+def language_tokens(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.groupBy("lang").agg(F.sum(F.size(text.language_tokens(F.col("text"), F.col("lang")))).alias("n"))
+
+
+@query()
+def page_markdown(spark, sf_dir):
+    return dom.markdown(read(spark, sf_dir, "pages")).select("page_id", F.length("markdown").alias("n_chars"), F.sha2("markdown", 256).alias("sha256"))
+
+
+@query()
+def zero_shot_matrix(spark, sf_dir):
+    """Every extractor on two boards of pages."""
+    p = read(spark, sf_dir, "pages").select("page_id", "html", F.when(F.substring(F.sha2(F.col("page_id").cast("string"), 256), 1, 1) < "8", "test").otherwise("val").alias("fold"))
+    own = [boards.PagesBoard("short", p.where(F.length("html") < 4000)), boards.PagesBoard("long", p.where(F.length("html") >= 4000))]
+    return boards.matrix({n: (lambda pages, n=n: boards.extracted(pages, n)) for n in ("article", "dense", "everything")}, own, "test").select("model", "board", "n", "n_null", r8(F.col("f1")).alias("f1"))
+
+
+_HEAD = [((i * 5) % 7 - 3) / 10 for i in range(_WIDTH)]
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, e, list_avg(e) AS m FROM v), c AS (SELECT vec_id, list_transform(e, lambda x: x - m) AS c FROM n),
+ s AS (SELECT vec_id, list_sum(list_transform(list_zip(c, {_HEAD}), lambda p: p[1] * p[2])) / sqrt(list_avg(list_transform(c, lambda x: x * x)) + 1e-5) AS s FROM c),
+ b AS (SELECT doc_id, i, l[i] AS t FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+ k AS (SELECT doc_id, i, unnest({_TOK.format('t')}) AS token FROM b), a AS (SELECT doc_id, i, avg(s) AS a FROM k JOIN s ON len(token) = vec_id GROUP BY ALL)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_blocks, CAST(count(*) FILTER (1 / (1 + exp(-(coalesce(a, 0) + 0.05))) > 0.5) AS INTEGER) AS n_above FROM b LEFT JOIN a USING (doc_id, i) GROUP BY doc_id""")
+def page_probabilities(spark, sf_dir):
+    """Token vectors (chosen by the length of a token), block means, a linear head in windows; every document has probabilities."""
+    blocks_ = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+    rows = heads.token_rows(blocks_, "doc_id").withColumn("token", F.length("token").cast("bigint"))
+    rows = heads.embedded(rows, e).withColumn("at", F.struct("doc_id", "idx"))
+    pooled = model.mean_pool(rows, "at", "vector", _WIDTH).select("at.*", "vector").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "vector"))).alias("l"))
+    probs = heads.infer(pooled.select("doc_id", F.col("l.vector").alias("vectors")), "doc_id", "linear", {"v": _HEAD, "o": 0.05}, 128)
+    out = heads.export(blocks_.select("doc_id").distinct(), probs, "doc_id")
+    return out.select("doc_id", F.size("probs").alias("n_blocks"), F.size(F.filter("probs", lambda p: p > 0.5)).alias("n_above"))
+
+
+@query("SELECT vec_id, round((embedding[3] - m3) / s3, 6) AS z2, round((embedding[6] - m6) / s6, 6) AS z5 FROM embeddings, (SELECT avg(embedding[3]::DOUBLE) AS m3, stddev_pop(embedding[3]::DOUBLE) AS s3, avg(embedding[6]::DOUBLE) AS m6, stddev_pop(embedding[6]::DOUBLE) AS s6 FROM embeddings) WHERE len(embedding) > 0")
+def live_features(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").where(F.size("embedding") > 0)
+    stats = model.column_stats(e, "embedding", list(range(_WIDTH)))
+    rows = e.crossJoin(F.broadcast(stats))  # one row
+    z = rows.select("vec_id", heads.live_features(F.transform("embedding", lambda x: x.cast("double")), F.col("mean"), F.col("std"), [2, 5]).alias("z"))
+    return z.select("vec_id", F.round(F.get("z", F.lit(0)), 6).alias("z2"), F.round(F.get("z", F.lit(1)), 6).alias("z5"))
+
+
+# ---- records, on events: event_type is the run, the day its epoch
+
+_CURVE = "WITH c AS (SELECT event_type AS run, CAST(day(ts) AS INTEGER) AS epoch, round(avg(value), 6) AS val FROM events GROUP BY ALL)"
+
+
+def _curve(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run"), F.dayofmonth("ts").alias("epoch")).agg(F.round(F.avg("value"), 6).alias("val"))
+
+
+@query(_CURVE + " SELECT run, epoch, val, max(val) OVER w AS best, coalesce(val > max(val) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM c WINDOW w AS (PARTITION BY run ORDER BY epoch)")
+def running_best(spark, sf_dir):
+    return records.running_best(_curve(spark, sf_dir), ["run"])
+
+
+@query(_CURVE + " SELECT run, count(*) AS n, round(avg(val), 6) AS mean_val, arg_max(epoch, struct_pack(v := val, e := -epoch)) AS best_epoch, max(val) AS best_val FROM c GROUP BY run")
+def best_epochs(spark, sf_dir):
+    return records.epochs(_curve(spark, sf_dir), ["run"]).withColumn("mean_val", F.round("mean_val", 6))
+
+
+@query(_CURVE + " SELECT run, string_agg(CAST(epoch AS VARCHAR), ',' ORDER BY epoch) AS epochs, round(sum(val * epoch), 4) AS weighted, count(*) AS n FROM c GROUP BY run")
+def rebuilt_records(spark, sf_dir):
+    c = _curve(spark, sf_dir).groupBy("run").agg(F.array_sort(F.collect_list(F.struct("epoch", "val"))).alias("l"))
+    return c.select("run", F.array_join("l.epoch", ",").alias("epochs"), F.round(F.aggregate("l", F.lit(0.0), lambda t, x: t + x["val"] * x["epoch"]), 4).alias("weighted"), F.size("l").cast("bigint").alias("n"))
+
+
+@query(_RUNS + ", n AS (SELECT method, seed % 3 AS b, seed, count(*) AS n FROM r GROUP BY ALL), l AS (SELECT method, b, string_agg(CAST(n AS VARCHAR), ',' ORDER BY n) AS v FROM n GROUP BY ALL) SELECT method, string_agg(b || ':' || v, ';' ORDER BY b) AS cells FROM l GROUP BY method")
+def nested_cells(spark, sf_dir):
+    n = _runs(spark, sf_dir).groupBy("method", (F.col("seed") % 3).alias("b"), "seed").agg(F.count(F.lit(1)).alias("n"))
+    cells = records.nested(n, "method", "b", "n")
+    return cells.select("method", F.array_join(F.transform(F.map_entries("cells"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), F.array_join(e["value"].cast("array<string>"), ","))), ";").alias("cells"))
+
+
+def _configs(spark, sf_dir) -> DataFrame:
+    r = _runs(spark, sf_dir).withColumns({"model": F.col("method"), "layers": F.col("seed") % 3, "head": F.when(F.col("seed") % 2 == 0, "linear").otherwise("gru")})
+    return r.withColumns({"train_limit": F.when(F.col("seed") % 5 == 0, F.col("seed")), "holdout": F.when(F.col("seed") % 7 == 0, "de")})
+
+
+_CONFIGS = _RUNS + ", c AS (SELECT *, seed % 3 AS layers, CASE WHEN seed % 2 = 0 THEN 'linear' ELSE 'gru' END AS head, CASE WHEN seed % 5 = 0 THEN seed END AS train_limit, CASE WHEN seed % 7 = 0 THEN 'de' END AS holdout FROM r)"
+
+
+@query(_CONFIGS + " SELECT CASE WHEN holdout IS NOT NULL THEN 'holdout' WHEN train_limit IS NOT NULL THEN 'ladder' ELSE 'full' END AS section, count(*) AS runs, count(DISTINCT method || '|' || layers || '|' || head || '|' || coalesce(CAST(train_limit AS VARCHAR), '-')) AS cells FROM c GROUP BY ALL")
+def cell_identity(spark, sf_dir):
+    c = _configs(spark, sf_dir)
+    rows = c.withColumn("cell", records.cell(c))
+    return rows.groupBy(F.col("cell.section").alias("section")).agg(F.count(F.lit(1)).alias("runs"), F.countDistinct("cell").alias("cells"))
+
+
+@query(_CONFIGS + " SELECT method || '-' || layers || CASE WHEN head = 'linear' THEN '' ELSE '-' || head END || CASE WHEN seed % 2 = 1 THEN '-int8' ELSE '' END AS arm, method AS board, count(*) AS n FROM c WHERE holdout IS NULL AND train_limit IS NULL AND (method LIKE 'c%' OR method LIKE 'v%') AND method NOT LIKE 'ca%' GROUP BY ALL")
+def named_arms(spark, sf_dir):
+    """Promotable runs of selected ledgers, by arm."""
+    c = records.selected(records.promotable(_configs(spark, sf_dir)), "method", ["c", "v"], ["ca"])
+    name = records.arm(F.col("method"), F.col("layers"), F.col("head"), F.col("seed") % 2 == 1)
+    return c.groupBy(name.alias("arm"), records.board_of(name).alias("board")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT verdict, reason, count(*) AS n FROM (SELECT CASE WHEN reason IS NOT NULL AND reason <> 'drift' THEN 'error' WHEN reason = 'drift' THEN 'dropped' ELSE 'valid' END AS verdict, reason FROM (SELECT CASE WHEN text IS NULL THEN 'no text' WHEN len(text) < 40 THEN 'short' WHEN n_chars <> len(text) THEN 'length' WHEN lang = 'es' THEN 'drift' END AS reason FROM documents)) GROUP BY ALL")
+def record_checks(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    errors = {"no text": F.col("text").isNull(), "short": F.length("text") < 40, "length": F.col("n_chars") != F.length("text")}
+    return records.judged(d, F.coalesce(F.col("lang") == "es", F.lit(False)), errors).groupBy("verdict", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, unnest(json_keys(props)) AS name, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events")
+def flattened_records(spark, sf_dir):
+    return records.flattened(read(spark, sf_dir, "events"), "event_id", F.col("props"))
+
+
+@query("SELECT event_type, count(*) AS n, row_number() OVER (ORDER BY coalesce(nullif(list_position(['view', 'click'], event_type), 0), 3), event_type) AS place FROM events GROUP BY event_type")
+def custom_rank(spark, sf_dir):
+    n = read(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("place", F.row_number().over(W.orderBy(records.ranked(F.col("event_type"), ["view", "click"]))))  # a row for each type
