@@ -7,14 +7,17 @@ index is its matrix; its summary is the largest and smallest value of every dime
 scored until the bound falls below the query's k-th best score; equal bounds are still scored, since ties go to the
 smaller id.
 
-Queries travel in chunks of at most CHUNK vectors (their size is known), one pass over the blocks for each chunk; a first
-pass over a bounded sample of candidates gives each query a score that its k-th best cannot fall below, so that most blocks fall at once.
-Each task returns at most k rows per query; the k best of those are the answer.
+Queries travel in chunks of at most CHUNK vectors and CHUNK_BYTES, one pass over the blocks for each chunk, one chunk after the
+other, its results in a table; a first pass over a bounded sample of candidates gives each query a score that its k-th best
+cannot fall below, so that most blocks fall at once.  Each task returns at most k rows per query; the k best of those are the
+answer.
+
+Scores are exact: in doubles while no partial sum can reach 2**53, else in 64-bit integers, whose sums are right whenever the
+score itself fits a long; bounds are then taken a little too high.  A component or a score that fits no long is an error.
 
 Defined cases: vectors that are null, or hold null, NaN or infinite components, take part neither as query nor as
 candidate; so do rows with null ids.  A vector meets only vectors of the same length.  Of rows that repeat an id, the
-query is the row with the smallest vector; a candidate with the query's own id is left out.  Components are cut to
-+-2**31 / 256 so that scores fit a long.
+query is the row with the smallest vector; a candidate with the query's own id is left out.
 """
 
 import numpy as np
@@ -22,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import table
+
 BLOCK = 256
-CHUNK = 50_000
+CHUNK, CHUNK_BYTES = 50_000, 64_000_000
 SAMPLE = 4096
 CENTROIDS = 64
 
@@ -31,21 +36,46 @@ CENTROIDS = 64
 def integers(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id, v (array<bigint>): the rows that take part."""
     whole = F.expr(f"not exists(`{vec_col}`, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    cut = F.transform(F.col(vec_col), lambda x: F.least(F.greatest(F.floor(x.cast("double") * 256), F.lit(-(2**31))), F.lit(2**31)).cast("bigint"))
+    large = F.raise_error(F.lit("a component fits no long")).cast("bigint")
+    cut = F.transform(F.col(vec_col), lambda x: F.when(F.abs(x.cast("double") * 256) < 2.0**63, F.floor(x.cast("double") * 256).cast("bigint")).otherwise(large))
     return rows.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(whole).select(F.col(id_col).cast("bigint").alias("vec_id"), cut.alias("v"))
 
 
-def matrix(column: pa.Array) -> list[np.ndarray]:
-    flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-    return [flat[a - at[0] : b - at[0]] for a, b in zip(at[:-1], at[1:], strict=True)]
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(-1, width)
+
+
+def gathered(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a bounded number of rows(vec_id, v)."""
+    got = rows.select("vec_id", "v").toArrow().combine_chunks()
+    parts = got.to_batches()
+    ids = [b.column("vec_id").to_numpy() for b in parts] or [np.zeros(0, np.int64)]
+    return np.concatenate(ids), np.concatenate([matrix(b.column("v"), width) for b in parts] or [np.zeros((0, width), np.int64)])
+
+
+def most(a: np.ndarray, b: np.ndarray) -> float:
+    """No partial sum of a @ b.T is larger."""
+    largest = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+    return largest(a) * largest(b) * max(1, a.shape[1])
 
 
 def dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T, exact: in doubles while every partial sum is below 2**53, else in integers."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**53:
+    """a @ b.T, exact."""
+    limit = most(a, b)
+    if limit < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if limit >= 2**63 and np.abs(a.astype(np.float64) @ b.astype(np.float64).T).max(initial=0) >= 2.0**63 * (1 - 2.0**-40):
+        raise OverflowError("a score fits no long")
+    return a.astype(np.int64) @ b.astype(np.int64).T  # modulo 2**64: right if the score fits
+
+
+def bounds(q: np.ndarray, top: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The largest score that a query can have in a block, or (for large values) a little more."""
+    if max(most(q, top), most(q, low)) < 2**52:
+        return dot(np.maximum(q, 0), top) + dot(np.minimum(q, 0), low)
+    q, top, low = (x.astype(np.float64) for x in (q, top, low))
+    slack = np.abs(q) @ np.maximum(np.abs(top), np.abs(low)).T * 2.0**-40
+    return np.maximum(q, 0) @ top.T + np.minimum(q, 0) @ low.T + slack
 
 
 class Best:
@@ -76,12 +106,13 @@ def search(blocks: list[tuple[np.ndarray, np.ndarray]], q_id: np.ndarray, q: np.
     low = np.stack([m.min(0) for _, m in blocks])
     for a in range(0, len(q), 2048):
         own = np.arange(a, min(len(q), a + 2048))
-        bound = dot(np.maximum(q[own], 0), top) + dot(np.minimum(q[own], 0), low)
+        bound = bounds(q[own], top, low)
         order = np.argsort(-bound, axis=1, kind="stable")
         rank, alive = 0, np.arange(len(own))
         while len(alive) and rank < len(blocks):
             b = order[alive, rank]
-            go = bound[alive, b] >= best.least()[own[alive]]
+            least = best.least()[own[alive]]
+            go = (bound[alive, b] >= least) | (least == np.iinfo(np.int64).min)
             alive, b = alive[go], b[go]
             for x in np.unique(b):
                 who = own[alive[b == x]]
@@ -116,29 +147,28 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
         own = base.where(F.size("v") == width)
         total = shapes[width]
         share = min(1 << 20, -(-(SAMPLE << 20) // total))
-        picked = own.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).limit(4 * SAMPLE).collect()  # about SAMPLE rows
-        sample = np.array([r.v for r in picked], np.int64).reshape(len(picked), width)
-        ids = np.array([r.vec_id for r in picked], np.int64)
+        ids, sample = gathered(own.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share).limit(4 * SAMPLE), width)  # about SAMPLE rows
         centres = spark.sparkContext.broadcast(centroids(sample, CENTROIDS) if len(sample) else np.zeros((1, width)))
 
         def place(batches, centres=centres):
             c = centres.value
             half = (c * c).sum(1) / 2
             for batch in batches:
-                m = np.stack(matrix(batch.column("v"))).astype(np.float64) if batch.num_rows else np.zeros((0, c.shape[1]))
+                m = matrix(batch.column("v"), c.shape[1]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array((m @ c.T - half).argmax(1), pa.int32()), batch.column("vec_id"), batch.column("v")], ["cell", "vec_id", "v"])
 
         parts = max(1, -(-total // 8192))
         # (cell, id) spreads equal vectors as well: a vector that a third of all rows share fills blocks like any other
         laid = own.mapInArrow(place, "cell int, vec_id bigint, v array<bigint>").repartitionByRange(parts, "cell", "vec_id").sortWithinPartitions("cell", "vec_id")
-        pieces = max(1, -(-count // chunk))
+        pieces = max(1, -(-count // min(chunk, max(1, CHUNK_BYTES // (8 * width)))))
+        if pieces > 1:
+            laid = table(laid, "top-k-laid").repartitionByRange(parts, "cell", "vec_id").sortWithinPartitions("cell", "vec_id")
         for piece in range(pieces):
             some = asked.where(F.size("v") == width)
             some = some.where(F.pmod(F.xxhash64("vec_id"), F.lit(pieces)) == piece) if pieces > 1 else some
-            got = some.collect()  # at most about ``chunk`` vectors
-            if not got:
+            q_id, q = gathered(some, width)  # at most about ``chunk`` vectors
+            if not len(q):
                 continue
-            q_id, q = np.array([r.vec_id for r in got], np.int64), np.array([r.v for r in got], np.int64)
             floor = np.full(len(q), np.iinfo(np.int64).min)
             if len(sample):
                 first = search([(ids[a : a + block], sample[a : a + block]) for a in range(0, len(ids), block)], q_id, q, floor, k)
@@ -150,7 +180,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
                 blocks = []
                 for batch in batches:
                     if batch.num_rows:
-                        m, i = np.stack(matrix(batch.column("v"))), batch.column("vec_id").to_numpy()
+                        m, i = matrix(batch.column("v"), q.shape[1]), batch.column("vec_id").to_numpy()
                         blocks += [(i[a : a + block], m[a : a + block]) for a in range(0, len(i), block)]
                 if blocks:
                     best = search(blocks, q_id, q, floor, k)
@@ -159,5 +189,9 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
 
             found = laid.mapInArrow(scan, "query_id bigint, vec_id bigint, score bigint")
             best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("top"))
-            out = out.unionByName(best.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "t.vec_id", (-F.col("t.s")).alias("score")))
+            rows_ = best.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "t.vec_id", (-F.col("t.s")).alias("score"))
+            if pieces > 1:
+                rows_ = table(rows_, "top-k")
+                shared.destroy()
+            out = out.unionByName(rows_)
     return out

@@ -1,6 +1,9 @@
 import math
+from collections import defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import topk
 
@@ -52,3 +55,22 @@ def test_pruning_skips_blocks():
 def test_empty(spark):
     e = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(e, e).count() == 0
+
+
+def test_large_components_are_exact_or_an_error(spark):
+    r = np.random.default_rng(6)
+    vs = r.integers(-3, 4, (120, 6)).astype(float)
+    vs[r.integers(0, 120, 40), r.integers(0, 6, 40)] = 1e9 + 0.25
+    vs[::7] = np.round(vs[::7] % 5)
+    small = [i for i in range(120) if np.abs(vs[i]).max() < 100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    asked = [i for i in small if i % 3 == 0]
+    got = defaultdict(list)
+    for x in topk.top_k(df, df.where(F.col("vec_id").isin(asked)), block=8, chunk=5).orderBy("query_id", "rank").collect():
+        got[x.query_id].append((x.vec_id, x.score))
+    ints = [[int(np.floor(256 * c)) for c in v] for v in vs]
+    for i in asked:
+        scores = sorted(((-sum(a * b for a, b in zip(ints[i], ints[j])), j) for j in range(120) if j != i))[:5]
+        assert got[i] == [(j, -s) for s, j in scores]
+    with pytest.raises(Exception, match="fits no long"):
+        topk.top_k(df, df).collect()
