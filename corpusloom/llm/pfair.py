@@ -8,8 +8,8 @@ keeps every source within less than one block of its share at all times.  After
 share, so one period holds for as many periods as every source can fill, and the slot of any block is a formula: nothing
 is simulated over the corpus.  When a source runs out within a period, the windows of that period come from the fluid
 schedule in which the others take over its share; then the shares of the remaining sources are scaled up and the next
-periods follow.  There are at most two such segments for each source; their tables (sources x segments rows, D numbers a
-segment) are broadcast.  No row is dropped or repeated.
+periods follow.  There are at most two such segments for each source, and for each period; their tables (sources x segments
+rows, D numbers a segment) are broadcast while small, else joined by a shuffle.  No row is dropped or repeated.
 
 Ranks within a source come from counts: rows fall into (source, hash bucket) groups of about BUCKET_ROWS rows, a
 hot source just has more buckets; prefix sums over bucket counts give the first rank of each bucket.
@@ -24,15 +24,20 @@ that repeat an id keep places of their own.  Null ids are rows like any other.
 import heapq
 import json
 import math
+import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 BLOCK_ROWS = 64
 BUCKET_ROWS = 2000
 LEAST_PERIOD = 1024
+#: A plan of up to so many numbers (4 to 8 bytes each) is broadcast.
+PLAN_NUMBERS = 2_000_000
 
 
 def shares(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -44,10 +49,14 @@ def shares(weights: dict[str, float], period: int) -> dict[str, int]:
     if left > 0:
         for s in sorted(exact, key=lambda s: (out[s] - exact[s], s))[:left]:
             out[s] += 1
-    while left < 0:  # small sources were raised to one slot: the largest give way
-        s = max(out, key=lambda s: (out[s], s))
-        out[s] -= 1
-        left += 1
+    if left < 0:  # small sources were raised to one slot: the largest give way, in turn
+        rank = {s: i for i, s in enumerate(sorted(out, reverse=True))}
+        largest = [(-n, rank[s], s) for s, n in out.items()]
+        heapq.heapify(largest)
+        for _ in range(-left):
+            n, r, s = largest[0]
+            out[s] -= 1
+            heapq.heapreplace(largest, (n + 1, r, s))
     return out
 
 
@@ -60,25 +69,32 @@ def schedule(share: dict[str, int], have: dict[str, int]) -> dict[str, list[int]
     names = sorted(share)
     a = np.array([share[s] for s in names], np.int64)
     n = np.array([have[s] for s in names], np.int64)
-    jobs = []
-    for i, s in enumerate(names):
-        k = np.arange(n[i] + 1)
-        fluid = np.minimum(k[:, None] * a[None, :], n[None, :] * a[i]).sum(1)  # times a[i]
-        release, due = fluid[:-1] // a[i], -(-fluid[1:] // a[i])
-        jobs += zip(release.tolist(), due.tolist(), [s] * int(n[i]), k.tolist(), strict=False)
-    jobs.sort(key=lambda j: j[0])
-    out: dict[str, list[int]] = {s: [] for s in names}
-    ready: list[tuple[int, str, int]] = []
-    at = 0
-    for slot in range(len(jobs)):
-        while at < len(jobs) and jobs[at][0] <= slot:
-            heapq.heappush(ready, (jobs[at][1], jobs[at][2], jobs[at][3]))
+    # received by all at virtual time x: x times the shares that last beyond x, and all blocks of the others
+    last = np.argsort(n / a, kind="stable")
+    lasting = np.concatenate([[a.sum()], a.sum() - np.cumsum(a[last])])
+    spent = np.concatenate([[0], np.cumsum(n[last])])
+    who = np.repeat(np.arange(len(names)), n + 1)
+    k = np.arange(len(who)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+    over = np.searchsorted((n / a)[last], k / a[who], "left")
+    fluid = k * lasting[over] + a[who] * spent[over]  # times a[who]
+    job = np.flatnonzero(k < n[who])
+    release, due = fluid[job] // a[who[job]], -(-fluid[job + 1] // a[who[job]])
+    order = np.argsort(release, kind="stable")
+    # (due, source, block) as one number: earliest deadline first, ties to the source that sorts first
+    keys = [(d << 84) | (w << 42) | j for d, w, j in zip(due[order].tolist(), who[job][order].tolist(), k[job][order].tolist(), strict=True)]
+    release = release[order].tolist()
+    slots: list[list[int]] = [[] for _ in names]
+    ready: list[int] = []
+    at, mask = 0, (1 << 42) - 1
+    for slot in range(len(keys)):
+        while at < len(keys) and release[at] <= slot:
+            heapq.heappush(ready, keys[at])
             at += 1
-        due, s, _ = heapq.heappop(ready)
-        if slot >= due:
+        key = heapq.heappop(ready)
+        if slot >= key >> 84:
             raise AssertionError("a block missed its deadline")
-        out[s].append(slot)
-    return out
+        slots[key >> 42 & mask].append(slot)
+    return dict(zip(names, slots, strict=True))
 
 
 def segments(blocks: dict[str, int], weights: dict[str, float], period: int) -> list[dict]:
@@ -99,6 +115,23 @@ def segments(blocks: dict[str, int], weights: dict[str, float], period: int) ->
     return out
 
 
+def literal(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """The plan as rows: a broadcast while its size, which is known, is small, else a table written in parts."""
+    schema = "array<struct<src:string,first:bigint,per:bigint,start:bigint,length:bigint,times:bigint,slots:array<int>>>"
+    part = lambda own: spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(own)), schema)).alias("p")).select(*(F.col(f"p.{c}").alias(f"__{c}") for c in ("src", "first", "per", "start", "length", "times", "slots")))
+    size = sum(len(r["slots"]) + 20 for r in rows)
+    if size <= PLAN_NUMBERS:
+        return F.broadcast(part(rows))
+    path, own, n = f"{shared_dir(spark)}/pfair-plan-{uuid.uuid4().hex}", [], 0
+    for i, r in enumerate(rows):
+        own.append(r)
+        n += len(r["slots"]) + 20
+        if n > PLAN_NUMBERS // 4 or i == len(rows) - 1:
+            part(own).write.mode("append").parquet(path)
+            own, n = [], 0
+    return spark.read.parquet(path)
+
+
 def _source(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("null"))
 
@@ -118,14 +151,14 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, bloc
         part = segments({s: blocks[s] for s in own}, own, period)
         rows += [r | {"start": r["start"] + slots} for r in part]
         slots += sum(blocks[s] for s in own)
-    plan = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<src:string,first:bigint,per:bigint,start:bigint,length:bigint,times:bigint,slots:array<int>>>")).alias("p")).select(*(F.col(f"p.{c}").alias(f"__{c}") for c in ("src", "first", "per", "start", "length", "times", "slots")))
+    plan = literal(spark, rows)
     h = F.xxhash64(F.col("doc_id"))
     base = docs.withColumns({"__src": _source(F.col("source")), "__hash": h}).withColumn("__bucket", F.pmod(F.col("__hash"), F.lit(buckets)))
     sizes = docs.select(_source(F.col("source")).alias("__src"), F.pmod(h, F.lit(buckets)).alias("__bucket")).groupBy("__src", "__bucket").count()
     before = sizes.select("__src", "__bucket", (F.sum("count").over(W.partitionBy("__src").orderBy("__bucket")) - F.col("count")).alias("__before"))
     ranked = base.withColumn("__nth", F.row_number().over(W.partitionBy("__src", "__bucket").orderBy("__hash", "doc_id"))).join(before, ["__src", "__bucket"])
     ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__nth") - 1).withColumn("__block", F.expr(f"__rank div {block_rows}"))
-    found = ranked.join(F.broadcast(plan), (ranked["__src"] == plan["__src"]) & F.expr("__block >= __first and __block < __first + __per * __times")).drop(plan["__src"])
+    found = ranked.join(plan, (ranked["__src"] == plan["__src"]) & F.expr("__block >= __first and __block < __first + __per * __times")).drop(plan["__src"])
     found = found.withColumn("__slot", F.expr("__start + ((__block - __first) div __per) * __length + get(__slots, cast((__block - __first) % __per as int))"))
     return found.withColumn("__position", F.col("__slot") * block_rows + F.col("__rank") % block_rows), slots
 

@@ -79,3 +79,22 @@ def test_interleave_keeps_rows_and_order(spark):
     first = Counter(r[1] for r in got[:400])
     assert abs(first["hot"] - 200) <= 8 and abs(first["src1"] - 100) <= 8
     assert pfair.mix(df.limit(0)).count() == 0
+
+
+def test_many_sources_take_seconds():
+    import time
+
+    r = np.random.default_rng(1)
+    blocks = {f"s{i}": int(x) for i, x in enumerate(r.integers(1, 1000, 1000))}
+    began = time.time()
+    rows = pfair.segments(blocks, {s: math.sqrt(n) for s, n in blocks.items()}, 16_384)
+    assert time.time() - began < 30
+    slots = np.concatenate([x["start"] + x["length"] * np.arange(x["times"])[:, None] + np.array(x["slots"], int)[None, :] for x in rows], axis=None)
+    assert len(slots) == sum(blocks.values()) and len(np.unique(slots)) == len(slots) == slots.max() + 1
+
+
+def test_a_large_plan_is_a_table(spark, monkeypatch):
+    df = spark.createDataFrame(corpus(), "doc_id long, source string, text string, slot int")
+    want = sorted(map(tuple, pfair.mix(df, block_rows=8).collect()), key=repr)
+    monkeypatch.setattr(pfair, "PLAN_NUMBERS", 300)
+    assert sorted(map(tuple, pfair.mix(df, block_rows=8).collect()), key=repr) == want
