@@ -62,3 +62,16 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+
+
+def test_a_language_of_copies_is_learned_and_others_can_be_refused(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, " ".join(r.permutation(EN.split())[:9]), "en") for i in range(400)] + [(1000 + i, DE, "de") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prototypes = langid.train(df, per_lang=50)
+    assert langs == ["de", "en"]
+    odd = spark.createDataFrame([(1, EN, "x"), (2, DE, None), (3, None, "en"), (4, "12", "de"), (5, "語" * 9, "en")], "doc_id long, text string, lang string")
+    kept = lambda **kw: sorted(x.doc_id for x in langid.accept(odd, langs, prototypes, **kw).collect())
+    assert kept(allowed=["de"]) == [2] and kept(noise=4) == [1, 2] and set(kept()) <= {1, 2, 5}
+    assert kept(allowed=["de", "en", "und"], noise=4) == [1, 2, 3, 4]
+    assert langid.accept(odd, [], prototypes[:0]).count() == 0
