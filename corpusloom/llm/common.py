@@ -4,11 +4,13 @@ A *word* is a run of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z are lowe
 outside ASCII.  In UTF-8 that is a test of single bytes, so whole batches are cut into words by numpy.
 """
 
+import ctypes
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
@@ -118,6 +120,13 @@ class WordHasher:
         return h, np.searchsorted(starts, at).astype(np.int64)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker waits for its next task beside a JVM that needs the room."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 def pieces(batches, most: int = GROUP_BYTES):
     """Cuts Arrow batches into slices of about ``most`` bytes of text (one row at least), whatever a batch holds."""
     for batch in batches:
@@ -127,6 +136,8 @@ def pieces(batches, most: int = GROUP_BYTES):
             to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+        batch = None  # before the next one is read
+    give_back()
 
 
 def groups(texts: list[str | None], most: int = GROUP_BYTES):
