@@ -114,12 +114,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH p AS (
-  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+  SELECT row_number() OVER () AS i, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), q AS (
-  SELECT page_id, lower(regexp_extract(rest, '^[^/?#]*')) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+  SELECT i, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
 ), r(h, d, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 m AS (
-  SELECT q.page_id, q.host, q.path, h || d AS rule, v, row_number() OVER (PARTITION BY q.page_id ORDER BY length(h || d) DESC) AS k
+  SELECT q.page_id, q.host, q.path, h || d AS rule, v, row_number() OVER (PARTITION BY q.i ORDER BY length(h || d) DESC) AS k
   FROM q LEFT JOIN r ON (q.host = h OR ends_with(q.host, '.' || h)) AND starts_with(q.path, d)
 )
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1

@@ -1,10 +1,11 @@
 """URL filters: host-suffix and path-prefix expressions, joined on short hash prefixes.
 
-Each distinct (host, path) of the input is expanded into host suffixes (the host and every parent domain) times path
+Each distinct (host, path) of the input is expanded into host suffixes (the host and its parent domains) times path
 prefixes.  Every expression gets a SHA-256 digest; its first ``prefix_bits`` bits are equi-joined with those of the rules,
 and the full digest is compared afterwards.  Of the rules that fit, the one with the longest text wins (ties: the longer
 host, then block).  Path prefixes are cut at the lengths that occur among the rules, so that rules ending within a path
-segment work as well.
+segment work as well; host suffixes have the numbers of labels that occur among the rules, so that a host of thousands
+of labels costs no more than another.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased.  Path: from there up to ``?``, ``#``
 or the end.  Built-in functions only.
@@ -47,15 +48,17 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_bit
         .withColumn("key", _key(F.col("r_digest"), prefix_bits))
     )
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    lengths = rules.agg(F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths"))  # one row; path lengths are few
+    labels = lambda host: F.split(host, r"\.")
+    # one row; lengths of paths and numbers of labels are few
+    sizes = rules.agg(F.collect_set(F.length("r_path")).alias("lengths"), F.collect_set(F.size(labels("r_host"))).alias("counts"))
     parts = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    labels = F.split("host", r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
+    own = F.filter("counts", lambda n: n <= F.size("labels"))
+    hosts = F.transform(own, lambda n: F.array_join(F.slice("labels", -n, n), "."))
     fitting = F.filter("lengths", lambda n: n <= F.length("path"))
     expressions = (
         parts.where("host <> ''").groupBy("host", "path").agg(F.lit(1).alias("one"))
-        .crossJoin(F.broadcast(lengths))  # one row
-        .withColumn("labels", labels)
+        .crossJoin(F.broadcast(sizes))  # one row
+        .withColumn("labels", labels("host"))
         .select("host", "path", F.explode(hosts).alias("x_host"), fitting.alias("fitting"))
         .select("host", "path", "x_host", F.explode("fitting").alias("n"))
         .withColumn("x_path", F.expr("substring(path, 1, n)"))

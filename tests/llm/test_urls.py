@@ -31,3 +31,15 @@ def test_empty_tables(spark):
     assert urls.judge(pages, rules).count() == 0
     one = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
     assert [r.verdict for r in urls.judge(one, rules).collect()] == ["allow"]
+
+
+def test_many_labels_and_tied_rules(spark):
+    deep = "x." * 20_000 + "a.net"
+    pages = spark.createDataFrame([(1, f"http://{deep}/p"), (2, "http://b.net/p"), (2, "http://b.net/p"), (3, "http://\u212a.net/"), (4, "http://ab.net/cd")], "page_id long, url string")
+    # for page 4 rules of equal length: the longer host wins; of two verdicts of one rule, block
+    rules = spark.createDataFrame([("a.net", "/", "block"), ("b.net", "/p", "allow"), ("b.net", "/p", "block"), ("k.net", "/", "block"), ("net", "/cd", "allow"), ("ab.net", "", "block")], "host string, path string, verdict string")
+    got = sorted((r.page_id, r.host, r.rule, r.verdict) for r in urls.judge(pages, rules).collect())
+    assert got == [
+        (1, deep, "a.net/", "block"), (2, "b.net", "b.net/p", "block"), (2, "b.net", "b.net/p", "block"),
+        (3, "\u212a.net", None, "allow"), (4, "ab.net", "ab.net", "block"),
+    ]
