@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, drop_table, grams, mix, pieces, table, within
+from .common import WordHasher, drop_table, grams, mix, pieces, quoted, table, within
 
 SHINGLE, THRESHOLD = 5, 0.8
 M, BANDS, ROWS = 128, 25, 5
@@ -360,4 +360,4 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if repeats:
         again = few(again, repeats)
         kept = kept.join(again, same(again), "left_anti").unionByName(kept.join(again, same(again), "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return kept.select(*(F.col(quoted(c)) for c in docs.columns))

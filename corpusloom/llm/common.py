@@ -140,6 +140,16 @@ def pieces(batches, most: int = GROUP_BYTES):
     give_back()
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def filtered(docs: DataFrame, each) -> DataFrame:
+    """docs.mapInArrow(each) for a function that keeps all columns and reads text, whatever the others are called."""
+    plain = docs.toDF(*(c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)))
+    return plain.mapInArrow(each, plain.schema).toDF(*docs.columns)
+
+
 def groups(texts: list[str | None], most: int = GROUP_BYTES):
     """Cuts a list into slices of about ``most`` characters."""
     at = size = 0

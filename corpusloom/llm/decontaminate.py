@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHasher, drop_table, grams, pieces, smallest, table, within, words_of
+from .common import WordHasher, drop_table, filtered, grams, pieces, smallest, table, within, words_of
 
 SPAN, K = 10, 5
 BLOCK_BYTES = 16_000_000
@@ -209,6 +209,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, b
             for batch in pieces(batches):
                 yield batch.filter(pa.array([not found for _, found, _ in own.scan(batch.column("text").to_pylist(), hasher)], pa.bool_()))
 
-        return rows.mapInArrow(each, docs.schema)
+        return filtered(rows, each)
 
     return passes(docs, benchmark, span, k, block_bytes, step)

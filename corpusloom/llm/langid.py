@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, pieces
+from .common import filtered, mix, pieces
 
 DIM = 1024
 PER_LANG = 3000
@@ -210,4 +210,4 @@ def accept(docs: DataFrame, langs: list[str], prototypes: np.ndarray, allowed: l
             keep = open_[best] & ((best < 0) | (score >= noise / encoder.dim**0.5))
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(each, docs.schema)
+    return filtered(docs, each)

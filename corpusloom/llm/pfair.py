@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import quoted, shared_dir
 
 BLOCK_ROWS = 64
 BUCKET_ROWS = 2000
@@ -174,4 +174,4 @@ def interleave(docs: DataFrame, weights: dict[str | None, float] | None = None,
     out, slots = placed(docs, weights, block_rows)
     parts = max(1, -(-slots * block_rows // part_rows))
     out = out.withColumn("__part", F.expr(f"cast(__position div {part_rows} as int)"))
-    return out.repartitionById(parts, "__part").sortWithinPartitions("__position").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return out.repartitionById(parts, "__part").sortWithinPartitions("__position").select(*(F.col(quoted(c)) for c in docs.columns))

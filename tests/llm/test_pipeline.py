@@ -36,3 +36,31 @@ def test_like_brute_force(spark, tmp_path):
 
 def test_stages():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "MinHash near-dedup", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, at string, `key` string, `row.x` int"
+
+
+def run_on(spark, path, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, path).collect()
+
+
+def test_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    extra = ("n", "a", "k", 1)
+    clean = "der Hund und die Katze gehen heute durch den alten Wald"
+    other = "a wholly different text that stands here once and has its own words"
+    rows = [
+        (1, clean, "de", "s", 9, *extra), (1, clean, "de", "s", 9, *extra), (2, clean, "de", None, 9, *extra),
+        (None, other, "en", None, None, None, None, None, None), (3, None, None, None, None, *extra), (4, "", "en", "s", 0, *extra),
+        (5, "so: one two three four five six seven eight nine ten and out", "en", "s", 9, *extra), (6, "word " * 30_000, "en", "s", 9, *extra),
+    ]
+    got = run_on(spark, str(tmp_path / "in"), rows)
+    assert {r.doc_id for r in got} == {1, 6, None}
+    assert Counter(r.doc_id for r in got if r.seq_no == 0) == Counter({1: 1, 6: 1, None: 1})
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+
+
+def test_empty_table(spark, tmp_path):
+    assert run_on(spark, str(tmp_path / "in"), []) == []
