@@ -2,6 +2,10 @@
 
 Each stage works on all that the one before it kept, written as Parquet in the shared folder and read again.  All but the
 last return the columns of documents.  The result has one row per record of the shards that were written.
+
+Defined cases: null and letterless texts go in the first stage.  Rows whose id is null are never near copies of others and
+stay; a null source is a source of its own.  Of repeated rows one stays.  Extra columns travel along, whatever their names.
+Empty tables give no rows.
 """
 
 import uuid
