@@ -20,7 +20,8 @@ others, and the pairs not compared so far are verified, but for those that the i
 bucket is expanded into all its pairs.
 
 Scale: each task keeps a group of texts; sketches are 220 bytes a document; shingle sets are only made for documents in
-buckets of two nodes or more.  Components are found with joins over tables written to the shared folder.
+buckets of two nodes or more.  What a bucket has one row of (its size, its centre, its largest component) is joined to its
+nodes by a shuffle, but by a broadcast for large buckets, so no task gets all nodes of one.  Components are found with joins over tables written to the shared folder.
 
 Defined cases: a text of 1 to 4 words has one shingle, all its words.  Null texts and texts without words are alone in
 their class.  A class is named by its least doc_id (null if all are null).  Repeated rows are copies of one another.
@@ -37,6 +38,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 M, BANDS, ROWS = 128, 25, 5
 #: Ids up to this number (8 bytes each, 16 with the hash of a text) are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Buckets of more than HOT_LEAST nodes and more than 1 / HOT_KEYS of all places are large: fewer than HOT_KEYS (60 bytes each).
+HOT_KEYS, HOT_LEAST = 100_000, 1000
 #: Texts are sketched in groups of about so many bytes.
 SKETCH_BYTES = 700_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -209,9 +212,15 @@ class Grouping:
         )
         self.unnamed = self.nodes.where("doc_id is null").limit(1).count() > 0
         keys = self.nodes.select("node", "n", F.explode("bands").alias("key"))
-        shared = table(keys.join(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "key"), "bagminhash-shared")
+        counts = table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "bagminhash-counts")
+        total = counts.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
+        self.often = F.col("members") > max(HOT_LEAST, total // HOT_KEYS)  # holds for fewer than HOT_KEYS keys
+        hot = F.broadcast(counts.where(self.often))
+        cold = keys.join(hot.select("key"), "key", "left_anti").join(counts.where(~self.often), "key")
+        shared = table(keys.join(hot, "key").unionByName(cold), "bagminhash-shared")
         company = shared.groupBy("node").agg(F.sum("members").alias("company"))
-        self.buckets = self.table(shared.join(company, "node").select("key", "node", "n", "company"), "bagminhash-buckets")
+        self.buckets = self.table(shared.join(company, "node").select("key", "node", "n", "company", "members"), "bagminhash-buckets")
+        drop_table(counts)
         drop_table(shared)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -223,12 +232,15 @@ class Grouping:
         while self.made:
             drop_table(self.made.pop())
 
-    @staticmethod
-    def around(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    def by_bucket(self, rows: DataFrame, side, how: str = "inner") -> DataFrame:
+        """rows joined with side(rows), which has one row for a key at most; the few large buckets are not shuffled."""
+        large, small = rows.where(self.often), rows.where(~self.often)
+        return large.join(F.broadcast(side(large)), "key", how).unionByName(small.join(side(small), "key", how))
+
+    def around(self, rows: DataFrame) -> DataFrame:
         """Pairs of each node with the centre of each of its buckets."""
-        rank = F.struct("company", "node", "n")
-        centres = centres.groupBy("key").agg(F.max(rank).alias("c"))
-        return rows.join(centres, "key").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c.node").alias("y"), F.col("c.n").alias("ny"))
+        centres = lambda own: own.groupBy("key").agg(F.max(F.struct("company", "node", "n")).alias("c"))
+        return self.by_bucket(rows, centres).select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("c.node").alias("y"), F.col("c.n").alias("ny"))
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """node, items of the nodes given: from one document of each."""
@@ -271,22 +283,27 @@ class Grouping:
                 return label.select("node", "component")
 
     def mixed(self, links: DataFrame) -> DataFrame:
-        """Rows (key, node, n, company, component) of the buckets that hold nodes of several components."""
+        """Rows (key, node, n, company, members, component) of the buckets that hold nodes of several components."""
         rows = self.buckets.join(self.components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = rows.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("members")).where("c1 != c2 and members > 2").select("key")
-        return self.table(rows.join(mixed, "key", "left_semi"), "bagminhash-mixed")
+        several = lambda own: own.where("members > 2").groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key")
+        rows = table(rows, "bagminhash-coloured")
+        out = self.table(self.by_bucket(rows, several, "left_semi"), "bagminhash-mixed")
+        drop_table(rows)
+        return out
 
-    @staticmethod
-    def besides(rows: DataFrame) -> DataFrame:
+    def besides(self, rows: DataFrame) -> DataFrame:
         """The rows that are not in the largest component of their bucket."""
-        size = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-        main = size.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main")).select("key", F.col("main.component").alias("main"))
-        return rows.join(main, "key").where("component != main").drop("main")
+
+        def main(own):
+            size = own.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+            return size.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main")).select("key", F.col("main.component").alias("main"))
+
+        return self.by_bucket(rows, main).where("component != main").drop("main")
 
     def rare_pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs of nodes of different components that share one of their rarest items, one of them beside the largest."""
-        least = rows.groupBy("key").agg(F.min("n").alias("least"))
-        nodes = rows.join(least, "key").groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("least").alias("least"))
+        least = lambda own: own.groupBy("key").agg(F.min("n").alias("least"))
+        nodes = self.by_bucket(rows, least).groupBy("node").agg(F.first("n").alias("n"), F.first("component").alias("component"), F.min("least").alias("least"))
         t = self.threshold
         # the least overlap with a partner that is as small as the buckets and the threshold allow
         partner = F.greatest(F.ceil(F.col("n") * t - 1e-9), F.col("least"))
@@ -307,14 +324,14 @@ class Grouping:
 
     def linked(self) -> DataFrame:
         """node, component for every node that has a link."""
-        tested = self.table(self.compared(self.around(self.buckets, self.buckets)), "bagminhash-tested")
+        tested = self.table(self.compared(self.around(self.buckets)), "bagminhash-tested")
         links = self.table(self.verified(tested), "bagminhash-links")
         for step in ("beside", "rare"):
             rows = self.mixed(links)
             if not rows.limit(1).count():
                 break
             own = self.besides(rows) if step == "beside" else None
-            pairs = self.around(own, own) if step == "beside" else self.rare_pairs(rows)
+            pairs = self.around(own) if step == "beside" else self.rare_pairs(rows)
             pairs = self.table(self.compared(pairs).join(tested, ["x", "y"], "left_anti"), "bagminhash-tested")
             if pairs.limit(1).count():
                 tested = tested.unionByName(pairs)

@@ -138,3 +138,17 @@ def test_signatures_estimate_weighted_jaccard():
         sig = B.Sketcher.signatures(np.array(d), np.array(s, np.uint64), np.array(w), 2)
         same.append((sig[0] == sig[1]).mean())
     assert abs(np.mean(same) - want) < 4 * (want * (1 - want) / 128 / 60) ** 0.5
+
+
+def test_large_buckets_give_the_same_classes(spark, monkeypatch):
+    monkeypatch.setattr(B, "HOT_LEAST", 3)  # so that buckets of a small corpus are large ones
+    r = np.random.default_rng(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = corpus(5, 6)
+    for i in range(50):  # mostly a little too far from one another: several components in a bucket
+        w = list(base)
+        for _ in range(int(r.integers(1, 6))):
+            w[int(r.integers(len(w)))] = f"x{int(r.integers(40))}"
+        rows.append((1000 + i, " ".join(w)))
+    _, got = run(spark, rows)
+    assert sorted((tuple(x) for x in got.collect()), key=repr) == brute(rows)
