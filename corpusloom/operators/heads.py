@@ -107,7 +107,7 @@ def windows(n: int, size: int) -> list[tuple[int, int, int, int]]:
 
 
 def infer(pages: DataFrame, key: str, kind: str, weights: dict, size: int = 2048, vectors: str = "vectors") -> DataFrame:
-    """key, probs: the head's probabilities of pages(key, vectors), in windows of ``size`` blocks."""
+    """key, probs: the head's probabilities of pages(key, vectors), in windows of ``size`` blocks; not rounded, for thresholds."""
     shared = pages.sparkSession.sparkContext.broadcast((kind, {k: np.asarray(v, float) for k, v in weights.items()}))
 
     def each(batches):
@@ -120,7 +120,7 @@ def infer(pages: DataFrame, key: str, kind: str, weights: dict, size: int = 2048
                     x, out = np.array(page or [], float), []
                     for a, b, lo, hi in windows(len(x), size) if len(x) else ():
                         out.append(head(x[a:b])[lo - a : hi - a])
-                    probs.append(np.round(np.concatenate(out), 6).tolist() if out else [])
+                    probs.append(np.concatenate(out).tolist() if out else [])
                 yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(probs, pa.list_(pa.float64()))], [key, "probs"])
 
     return pages.select(key, vectors).mapInArrow(each, f"`{key}` {pages.schema[key].dataType.simpleString()}, probs array<double>")

@@ -132,6 +132,13 @@ def test_heads_windows_and_artefacts(spark, tmp_path):
     assert {x.page_id: x.probs for x in heads.export(pages, heads.infer(pages.where("page_id < 3"), "page_id", "linear", weights["linear"]), "page_id").collect()}[7] == []
 
 
+def test_probabilities_next_to_a_threshold(spark):
+    pages = spark.createDataFrame([(1, [[4e-7], [-4e-7], [0.0]])], "page_id int, vectors array<array<double>>")
+    probs = heads.infer(pages, "page_id", "linear", {"v": [1.0], "o": 0.0})
+    assert probs.select(F.transform("probs", lambda p: p > 0.5)).first()[0] == [True, False, False]
+    assert probs.select(F.transform("probs", lambda p: p < 0.5)).first()[0] == [False, True, False]
+
+
 def test_page_vectors_and_recipe(spark, tmp_path):
     table = spark.createDataFrame([("a", [1.0, 3.0]), ("b", [5.0, 1.0])], "token string, vector array<float>")
     blocks = spark.createDataFrame([(1, 0, "A b c", [9.0]), (1, 1, "", [8.0]), (1, 2, "a", [7.0])], "page_id int, idx int, text string, feats array<float>")
