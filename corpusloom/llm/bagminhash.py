@@ -205,26 +205,26 @@ class Grouping:
 
     def __init__(self, docs: DataFrame, threshold: float = THRESHOLD):
         self.docs, self.threshold, self.made = docs, threshold, []
-        self.sketches = self.table(sketches(docs), "bagminhash-sketches")
+        self.sketches = self.table(sketches(docs), "bagminhash-sketches", packed=False)
         self.nodes = self.table(
             self.sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("at").alias("at"), F.min(F.expr("if(doc_id is null, null, struct(doc_id, at))")).alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")),
             "bagminhash-nodes",
         )
         self.unnamed = self.nodes.where("doc_id is null").limit(1).count() > 0
         keys = self.nodes.select("node", "n", F.explode("bands").alias("key"))
-        counts = table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "bagminhash-counts")
+        counts = table(keys.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "bagminhash-counts", packed=True)
         total = counts.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
         self.often = F.col("members") > max(HOT_LEAST, total // HOT_KEYS)  # holds for fewer than HOT_KEYS keys
         hot = F.broadcast(counts.where(self.often))
         cold = keys.join(hot.select("key"), "key", "left_anti").join(counts.where(~self.often), "key")
-        shared = table(keys.join(hot, "key").unionByName(cold), "bagminhash-shared")
+        shared = table(keys.join(hot, "key").unionByName(cold), "bagminhash-shared", packed=True)
         company = shared.groupBy("node").agg(F.sum("members").alias("company"))
         self.buckets = self.table(shared.join(company, "node").select("key", "node", "n", "company", "members"), "bagminhash-buckets")
         drop_table(counts)
         drop_table(shared)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        self.made.append(table(df, name))
+    def table(self, df: DataFrame, name: str, packed: bool = True) -> DataFrame:
+        self.made.append(table(df, name, packed))
         return self.made[-1]
 
     def close(self) -> None:
@@ -269,12 +269,12 @@ class Grouping:
     def components(self, links: DataFrame) -> DataFrame:
         """node, component: the least node that links reach (least neighbours, then jumps to the component's component)."""
         edges = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        label = table(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("component")).select(F.col("x").alias("node"), "component"), "bagminhash-components")
+        label = table(edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("component")).select(F.col("x").alias("node"), "component"), "bagminhash-components", packed=True)
         while True:
             seen = edges.join(label.select(F.col("node").alias("y"), "component"), "y").groupBy(F.col("x").alias("node")).agg(F.min("component").alias("near"))
             step = label.join(seen, "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
             jump = label.select(F.col("node").alias("component"), F.col("component").alias("further"))
-            new = table(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old"), "bagminhash-components")
+            new = table(step.join(jump, "component", "left").select("node", F.least("component", F.coalesce("further", "component")).alias("component"), "old"), "bagminhash-components", packed=True)
             moved = new.where("component != old").limit(1).count()
             drop_table(label)
             label = new
@@ -286,7 +286,7 @@ class Grouping:
         """Rows (key, node, n, company, members, component) of the buckets that hold nodes of several components."""
         rows = self.buckets.join(self.components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = lambda own: own.where("members > 2").groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 != c2").select("key")
-        rows = table(rows, "bagminhash-coloured")
+        rows = table(rows, "bagminhash-coloured", packed=True)
         out = self.table(self.by_bucket(rows, several, "left_semi"), "bagminhash-mixed")
         drop_table(rows)
         return out
@@ -310,7 +310,7 @@ class Grouping:
         overlap = F.ceil((F.col("n") + partner) * (t / (1 + t)) - 1e-9)
         nodes = self.table(nodes.withColumn("prefix", (F.col("n") - overlap + 1).cast("int")), "bagminhash-prefixes")
         items = self.sets(nodes.select("node")).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", F.explode("items").alias("item"))
-        items = table(items, "bagminhash-items")
+        items = table(items, "bagminhash-items", packed=True)
         seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
         ranked = items.join(seen, "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("l"))  # a document's items
         common = F.size(F.filter("l", lambda i: i["df"] > 1)).alias("common")  # no overlap is larger

@@ -152,3 +152,20 @@ def test_large_buckets_give_the_same_classes(spark, monkeypatch):
         rows.append((1000 + i, " ".join(w)))
     _, got = run(spark, rows)
     assert sorted((tuple(x) for x in got.collect()), key=repr) == brute(rows)
+
+
+def test_tables_are_packed(spark):
+    key, off = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    had, was = spark.conf.get(key), spark.conf.get(off)
+    rows = [(i, "w%d of some words that go on %d" % (i // 2, i // 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    try:
+        spark.conf.set(key, "60")
+        spark.conf.set(off, "false")
+        own = B.Grouping(df)
+        files = [len(own.nodes.inputFiles()), len(own.buckets.inputFiles())]
+        assert own.nodes.count() == 200 and max(files) <= 24  # four for each of four cores are fewer
+        own.close()
+    finally:
+        spark.conf.set(key, had)
+        spark.conf.set(off, was)
