@@ -18,9 +18,11 @@ from corpusloom.functions.text import tokenize
 def embedded(tokens: DataFrame, table: DataFrame, token: str = "token", vector: str = "vector", eps: float = 1e-5) -> DataFrame:
     """tokens(.., token) with vector: looked up in table(token, vector) and normalised to mean 0 and variance 1.
 
-    Tokens that the table lacks have no vector and do not count in a mean.
+    Tokens that the table lacks have no vector and do not count in a mean.  Null components stay null and count in nothing; a
+    vector of nothing else stays as it is.
     """
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda t, x: t + x) / F.size(v)
+    some = lambda v: F.filter(v, lambda x: x.isNotNull())
+    mean = lambda v: F.aggregate(some(v), F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(some(v)), F.lit(0))
     one = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
     centred = lambda v: one(mean(v), lambda m: F.transform(v, lambda x: x - m))
     scaled = lambda c: one(mean(F.transform(c, lambda x: x * x)), lambda s: F.transform(c, lambda x: x / F.sqrt(s + eps)))
@@ -126,6 +128,89 @@ def infer(pages: DataFrame, key: str, kind: str, weights: dict, size: int = 2048
     return pages.select(key, vectors).mapInArrow(each, f"`{key}` {pages.schema[key].dataType.simpleString()}, probs array<double>")
 
 
+def vocabulary(pages: DataFrame, table: DataFrame, width: int, tokens: str = "tokens") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the tokens in pages(tokens: an array of integers for each block) that table(token, vector) has: the tokens in order,
+    the sums of their normalised vectors and how many there are of each; null components are 0, vectors without any don't count.
+
+    It is collected: as many vectors as there are different tokens, however many tokens there are.
+    """
+    found = pages.select(F.explode(F.array_distinct(F.flatten(tokens))).alias("token")).distinct()
+    own = F.slice("vector", 1, width)
+    rows = embedded(found, table).select("token", own.alias("vector")).where(F.exists("vector", lambda x: x.isNotNull())).collect()
+    ids, at = np.unique(np.array([r.token for r in rows], np.int64), return_inverse=True)
+    sums = np.zeros((len(ids), width))
+    for i, r in zip(at, rows):
+        sums[i, : len(r.vector)] += [x or 0.0 for x in r.vector]
+    return ids, sums, np.bincount(at, minlength=len(ids))
+
+
+def pooled(rows: np.ndarray, tokens: np.ndarray, n: int, known: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Mean vectors of n blocks from their tokens (rows: the block of each); zeros for blocks without any that is known."""
+    ids, sums, counts = known
+    out = np.zeros((n, sums.shape[1]))
+    at = np.searchsorted(ids, tokens)
+    at[at == len(ids)] = 0
+    own = ids[at] == tokens if len(ids) else np.zeros(len(tokens), bool)
+    pairs, times = np.unique(rows[own] * len(ids) + at[own], return_counts=True)
+    if not len(pairs):
+        return out
+    block, token = np.divmod(pairs, len(ids))
+    edges = np.flatnonzero(np.diff(block, prepend=-1))
+    with np.errstate(invalid="ignore"):  # vectors need not be finite
+        for a in range(0, len(edges), 1000):  # so many blocks at a time; a block has a vector for each of its different tokens
+            lo, hi = edges[a], edges[a + 1000] if a + 1000 < len(edges) else len(pairs)
+            e, t, k = edges[a : a + 1000] - lo, token[lo:hi], times[lo:hi]
+            out[block[lo + e]] = np.add.reduceat(sums[t] * k[:, None], e) / np.add.reduceat(counts[t] * k, e)[:, None]
+    return out
+
+
+def infer_tokens(pages: DataFrame, key: str, known: tuple[np.ndarray, np.ndarray, np.ndarray], kind: str, weights: dict, size: int = 2048, tokens: str = "tokens") -> DataFrame:
+    """key, probs: as ``infer``, of pages(key, tokens), a row for each key, whose blocks are pooled from ``vocabulary``'s vectors
+    where they are scored: no row or vector for each token leaves a task.
+
+    tokens has, for each row that the page came in (one, as a rule), an array of integers for each block.  Blocks in the same
+    place are pooled together, and probs has their probability once for each row.
+    """
+    shared = pages.sparkSession.sparkContext.broadcast((kind, {k: np.asarray(v, float) for k, v in weights.items()}, known))
+
+    def lengths(lists):
+        return lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def starts(n):
+        return np.concatenate([[0], np.cumsum(n)])
+
+    def scored(rows, head, own):
+        """A list of probabilities for each of some pages."""
+        copies = rows.flatten()
+        blocks = copies.flatten()
+        n = lengths(copies)
+        page = np.repeat(np.arange(len(rows)), lengths(rows))  # of each copy
+        longest = np.zeros(len(rows), np.int64)
+        np.maximum.at(longest, page, n)
+        base = starts(longest)
+        place = np.repeat(base[page] - starts(n)[:-1], n) + np.arange(len(blocks))  # of each block
+        x = pooled(np.repeat(place, lengths(blocks)), blocks.flatten().to_numpy().astype(np.int64), base[-1], own)
+        probs = np.zeros(base[-1])
+        for at, to in zip(base, base[1:]):
+            for a, b, lo, hi in windows(to - at, size) if to > at else ():
+                probs[at + lo : at + hi] = head(x[at + a : at + b])[lo - a : hi - a]
+        ends = starts(n)[starts(lengths(rows))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(probs[place], pa.float64()))
+
+    def each(batches):
+        name, w, own = shared.value
+        head = HEADS[name](w)
+        for batch in batches:
+            rows = batch.column(tokens)
+            n = starts(lengths(rows.flatten()))[starts(lengths(rows))]
+            edges = [0, *(np.flatnonzero(np.diff(n[1:] // 8000)) + 1), len(rows)]  # runs of some 8000 blocks, or a page
+            for a, b in zip(edges, edges[1:]):
+                if b > a:
+                    yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), scored(rows.slice(a, b - a), head, own)], [key, "probs"])
+
+    return pages.select(key, tokens).mapInArrow(each, f"`{key}` {pages.schema[key].dataType.simpleString()}, probs array<double>")
+
+
 def export(pages: DataFrame, probs: DataFrame, key: str) -> DataFrame:
     """key, probs for every page; an empty list for pages that were not scored."""
     return pages.select(key).join(probs, key, "left").select(key, F.coalesce("probs", F.array().cast("array<double>")).alias("probs"))

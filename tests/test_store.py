@@ -139,6 +139,24 @@ def test_probabilities_next_to_a_threshold(spark):
     assert probs.select(F.transform("probs", lambda p: p < 0.5)).first()[0] == [False, True, False]
 
 
+def test_infer_tokens(spark):
+    table = spark.createDataFrame([(1, [1.0, 3.0]), (2, [5.0, 1.0]), (2, [0.0, 4.0]), (2, [5.0, 1.0]), (3, [None, None]), (4, []), (5, [None, 2.0]), (6, [float("nan"), 0.0]), (9, None)], "token long, vector array<float>")
+    kind, w = "page_id int, tokens array<array<array<int>>>", {"v": [1.0, 2.0], "o": 0.0}
+    pages = spark.createDataFrame([(1, [[[1, 2, 7], [], [1, 3, 4, 9]]]), (2, [[[1], [2]], [[2, 1, 1]]]), (3, []), (4, [[[6], [1], [5, 1]]])], kind)
+    known = heads.vocabulary(pages.select("page_id", F.explode("tokens").alias("tokens")), table, 2)
+    assert known[0].tolist() == [1, 2, 5, 6] and known[2].tolist() == [1, 3, 1, 1]
+    got = {r.page_id: np.array(r.probs) for r in heads.infer_tokens(pages, "page_id", known, "linear", w, 2).collect()}
+    p = lambda *x: 1 / (1 + np.exp(-np.mean(x)))  # noqa: E731 - of the tokens' scores: 1 and (0, 4) give 1, (5, 1) gives -1
+    assert np.allclose(got[1], [p(1, 1, -1, -1), 0.5, p(1)], atol=1e-4)
+    assert np.allclose(got[2], [p(1, 1, 1, 1, -1, -1), p(1, -1, -1), p(1, 1, 1, 1, -1, -1)], atol=1e-4)  # page 2 came in two rows
+    assert not len(got[3]) and np.isnan(got[4][0]) and np.allclose(got[4][1:], [p(1), p(0, 1)], atol=1e-4)
+    none = heads.vocabulary(pages.select("page_id", F.explode("tokens").alias("tokens")), table.where("token > 9"), 2)
+    assert [r.probs for r in heads.infer_tokens(pages.where("page_id = 2"), "page_id", none, "linear", w).collect()] == [[0.5] * 3]
+    many = spark.createDataFrame([(i, [[[1 + i % 2]] * (i % 40 * 100)]) for i in range(60)], kind)  # over several runs of blocks
+    got = {r.page_id: np.array(r.probs) for r in heads.infer_tokens(many.coalesce(1), "page_id", known, "linear", w).collect()}
+    assert all(len(got[i]) == i % 40 * 100 and np.allclose(got[i], p(-1, 1, -1) if i % 2 else p(1), atol=1e-4) for i in range(60))
+
+
 def test_page_vectors_and_recipe(spark, tmp_path):
     table = spark.createDataFrame([("a", [1.0, 3.0]), ("b", [5.0, 1.0])], "token string, vector array<float>")
     blocks = spark.createDataFrame([(1, 0, "A b c", [9.0]), (1, 1, "", [8.0]), (1, 2, "a", [7.0])], "page_id int, idx int, text string, feats array<float>")
